@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.common import table
-from kinweave.llm.exact_dedup import exact_dedup
+from kinweave.llm.common import cut, table
+from kinweave.llm.exact_dedup import without_copies
+from kinweave.llm.minhash import without_near_duplicates
 from kinweave.llm.mixing import mixed_documents
+from kinweave.llm.segmentation import segment
 from kinweave.llm.toxicity import without_toxic
 
-STAGES: list = []
 
-#: The toxicity votes, signatures and sampled segmentations are no SQL; tests/llm holds the stages against brute force.
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples don't call toxic."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document of the largest id."""
+    return without_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by word 5-shingles at similarity 0.8 the document of the least id."""
+    return without_near_duplicates(docs, width=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequence: each document as often as the mix takes it, in the order of its positions."""
+    return mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each row's whole text, checked by decoding, and two sampled segmentations."""
+    return segment(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+
+#: Votes of nearest neighbours and sampled segmentations are no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written to the shared folder and read again but the last."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,3 +66,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = found.unionByName(hot)
     added = {"keep_id": F.col(k), "group_size": F.col(g), "kept": F.col(id_col).eqNullSafe(F.col(k)), "text_sha256": F.sha2(t, 256)}
     return columns_with(found, added, docs.columns)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """``docs`` with one document of each group of equal texts; same columns."""
+    (flag,) = unused(docs, "x_kept")
+    if {c.lower() for c in docs.columns} & {"keep_id", "group_size", "kept", "text_sha256"}:
+        # carry clashing columns in a struct while the verdicts bear their names
+        (held,) = unused(docs, "x_row")
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held), F.col(id_col).alias("x_id"), F.col(text_col).alias("x_text"))
+        return exact_dedup(packed, "x_id", "x_text", keep).where("kept").select(f"{held}.*")
+    return exact_dedup(docs, id_col, text_col, keep).withColumnRenamed("kept", flag).where(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,18 +86,8 @@ def invert_schedule(share: Column, schedule: Sequence[tuple[float, float]]) -> C
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row a document: ``doc_id, source, size, source_size, target, taken, position``.
-
-    ``size`` counts words, null text 0. A source is read in the order of a hash
-    of the id, over and over, until its target is met; ``taken`` is the words
-    the mix takes from the document, repeats counted, and the document at the
-    target's edge gives its first words only. So the taken words of a source
-    are its target rounded down, and none exceeds ``max_epochs`` sizes.
-    ``position`` is the training time of the first taken word; null if nothing
-    is taken. A source of size 0 has target 0. Ties of the hash go by id, then
-    size; rows that repeat an id each count. Reruns agree.
-    """
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], schedules: Sequence[Sequence[tuple[float, float]]], max_epochs: int) -> DataFrame:
+    """``doc_id, source, size, source_size, target`` and ``copies``: epoch, taken and position of each copy that the mix takes."""
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     one = cut(one, "mix-sizes")  # the texts are read once
     one = one.withColumn("x_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -113,18 +103,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # (source, bucket) is unique among the ranges and a bucket holds a small part of any source
     one = one.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("x_bucket") == F.col("r_bucket")))
     one = one.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
-    start = F.col("x_before") + F.col("x_within")
-    words = F.floor("target")
-    taken = F.lit(0).cast("long")
+    copies = []
     for epoch in range(max_epochs):
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("source_size") * epoch - start))
-    share = F.when(F.col("target") > 0, start / F.col("target"))
-    position = None
-    for j in reversed(range(len(schedules))):
-        p = invert_schedule(share, schedules[j])
-        position = p if position is None else F.when(F.col("place") % len(schedules) == j, p).otherwise(position)
-    out = one.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, position))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+        start = F.col("x_before") + F.col("x_within") + F.col("source_size") * epoch
+        taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
+        share = F.when(F.col("target") > 0, start / F.col("target"))
+        position = None
+        for j in reversed(range(len(schedules))):
+            p = invert_schedule(share, schedules[j])
+            position = p if position is None else F.when(F.col("place") % len(schedules) == j, p).otherwise(position)
+        copies.append(F.struct(F.lit(epoch).alias("epoch"), taken.alias("taken"), position.alias("position")))
+    taken_ones = F.filter(F.array(*copies), lambda c: c["taken"] > 0)
+    return one.select("doc_id", "source", "size", "source_size", "target", taken_ones.alias("copies"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row a document: ``doc_id, source, size, source_size, target, taken, position``.
+
+    ``size`` counts words, null text 0. A source is read in the order of a hash
+    of the id, over and over, until its target is met; ``taken`` is the words
+    the mix takes from the document, repeats counted, and the document at the
+    target's edge gives its first words only. So the taken words of a source
+    are its target rounded down, and none exceeds ``max_epochs`` sizes.
+    ``position`` is the training time of the first taken word; null if nothing
+    is taken. A source of size 0 has target 0. Ties of the hash go by id, then
+    size; rows that repeat an id each count. Null is a source of its own.
+    Reruns agree. Other columns are left out.
+    """
+    rows = _plan(docs, id_col, text_col, source_col, weights, schedules, max_epochs)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["taken"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.get("copies", F.lit(0))["position"].alias("position"))
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
@@ -133,15 +141,15 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     return rows.repartitionByRange(partitions(docs.sparkSession), F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with ``taken, position`` added, without the documents of which nothing is taken, in training order.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The training sequence: a row of ``docs`` for each copy that the mix takes, range-sorted by position; same columns.
 
-    Input columns named ``taken`` or ``position`` are replaced.
+    Copies are whole documents, so a source exceeds its target by less than one
+    document. Of rows that repeat an id the first by size decides for all.
     """
-    h, taken, position = unused(docs, "x_id", "x_taken", "x_position")
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    # one verdict an id: repeated ids take what their first row takes
-    plan = plan.groupBy("doc_id").agg(F.max("taken").alias(taken), F.min("position").alias(position)).withColumnRenamed("doc_id", h)
-    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(h)))
-    rows = columns_with(rows, {"taken": F.col(taken), "position": F.col(position)}, docs.columns).where(F.col("taken") > 0)
-    return rows.repartitionByRange(partitions(docs.sparkSession), F.col("position"), F.col(id_col)).sortWithinPartitions("position", id_col)
+    key, copies, position = unused(docs, "x_id", "x_copies", "x_position")
+    plan = _plan(docs, id_col, text_col, source_col, weights, schedules, max_epochs)
+    plan = plan.groupBy("doc_id").agg(F.min_by("copies", "size").alias(copies)).withColumnRenamed("doc_id", key).where(F.size(copies) > 0)
+    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key))).withColumn(position, F.explode(F.col(copies)["position"]))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col(position), F.col(id_col)).sortWithinPartitions(position, id_col)
+    return columns_with(rows, {}, docs.columns)

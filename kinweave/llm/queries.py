@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .mixing import curriculum
 from .quality import quality
+from .segmentation import segment
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filters import url_filter
+from .warc import archive_and_read
 
 # Fixed values of the query's contract: host, path, verdict.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -23,6 +26,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("evidence", F.transform("evidence", lambda e: e["doc_id"]))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's encoding of each whole text and two sampled segmentations, id lists as crc32."""
+    found = segment(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_crc", "round_trip", F.transform("samples", lambda s: s.dropFields("ids")).alias("samples"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,6 +44,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as t(host, path, verdict)")
     return url_filter(table(spark, sf_dir, "pages"), rules)
@@ -44,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_quality, op6_token_counts, op9_url_filters, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_mixing, op4_quality, op6_token_counts, op7_warc, op8_minhash, op9_url_filters, op10_exact_dedup)}
 
 SQL = {
     "op3_mixing": r"""
@@ -80,6 +97,41 @@ select r.doc_id, r.size, t.source_size, t.target,
         + greatest(0, least(r.size, floor(t.target)::bigint - t.source_size - r.start))
         + greatest(0, least(r.size, floor(t.target)::bigint - 2 * t.source_size - r.start)))::bigint as taken
 from run r join targets t on r.source is not distinct from t.source
+""",
+    "op7_warc": r"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+q as (select page_id, payload, strlen(payload)::bigint as payload_bytes, max(page_id) over (partition by payload) as first_id from p)
+select page_id, payload_bytes, sha1(payload) as payload_digest,
+       case when payload_bytes >= 1000 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> first_id then first_id end as refers_to
+from q
+""",
+    "op8_minhash": r"""
+with recursive lists as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id,
+         case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+              else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from lists
+), rows as materialized (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common
+  from rows a join rows b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id
+), links as materialized (
+  select a, b from pairs where 100 * common >= 85 * (na + nb - common)
+  union all select b, a from pairs where 100 * common >= 85 * (na + nb - common)
+), reach(doc_id, other) as (
+  select doc_id, doc_id from documents
+  union
+  select r.doc_id, l.b from reach r join links l on r.other = l.a
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.other) as component_id, s.doc_id = min(r.other) as kept
+from sets s join reach r using (doc_id)
+group by s.doc_id, s.s
 """,
     "op9_url_filters": r"""
 with parts as (

@@ -2,7 +2,7 @@
 
 Each text is a TF-IDF vector over a bounded vocabulary: lower-cased words and
 word beginnings that the labelled rows tie to the label by a likelihood-ratio
-test. Document frequencies are counted over all documents. The labelled
+test and a least lift. Document frequencies are counted over all documents. The labelled
 examples are held in an inverted index whose postings are cut into blocks with
 the block's largest weight. A query visits blocks by descending upper bound and
 stops when no block can reach the k-th best cosine, so the neighbours are exact.
@@ -26,10 +26,12 @@ from .common import cut, id_remainder, unused
 from .features import prefix_hashes, word_hashes
 from .quality import labelled
 
-#: Labelled rows read at most, terms at most, least test statistic, neighbours, and examples in a block.
+#: Labelled rows read at most, terms at most, least test statistic (G squared), neighbours, and examples in a block.
 TRAIN_ROWS = 16_384
 TERMS = 1024
-LEAST_G2 = 20.0
+LEAST_G2 = 12.0
+#: A term is this much likelier in a row with the label than in one without, or it tells nothing.
+LEAST_LIFT = 8
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks of the largest bounds that are scored before the others are pruned.
@@ -85,7 +87,7 @@ def _vocabulary(sample: DataFrame, terms: int, least: float) -> tuple[np.ndarray
     share = (p + n) / float(pos + neg)
     g2 = 2 * (part(p, share * pos) + part(n, share * neg) + part(pos - p, pos - share * pos) + part(neg - n, neg - share * neg))
     rows = sample.select("x_text", "x_label").mapInArrow(tally, "term long, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    rows = rows.where((F.col("p") >= 2) & (p * neg > n * pos)).withColumn("g2", g2).where(F.col("g2") >= least).orderBy(F.desc("g2"), "term").limit(terms)
+    rows = rows.where((F.col("p") >= 2) & (p * neg >= LEAST_LIFT * n * pos)).withColumn("g2", g2).where(F.col("g2") >= least).orderBy(F.desc("g2"), "term").limit(terms)
     found = rows.select("term").toArrow()["term"].to_numpy()
     return np.sort(found.view(np.uint64)), pos, neg
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import audio_matches
 from .common import table
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
@@ -40,6 +41,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of all recordings with those whose id is divisible by 100."""
+    return audio_matches(spark, sf_dir)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_mixing, op4_quality, op6_token_counts, op7_warc, op8_minhash, op9_url_filters, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_mixing, op4_quality, op5_audio, op6_token_counts, op7_warc, op8_minhash, op9_url_filters, op10_exact_dedup)}
 
 SQL = {
     "op3_mixing": r"""

@@ -1,6 +1,6 @@
 """Exact duplicates by content sort (operator 10), DataFrame functions only.
 
-Sampled splitters range-partition the texts' bytes, the external sort of each
+Sampled splitters range-partition the texts' bytes (their heads, then a hash), the external sort of each
 partition places equal texts side by side, and one pass over neighbours, which
 compares them in full, finds each group's size and the row that stays. Sorting
 alone would put a text that makes up a third of the corpus into one task, so a
@@ -19,6 +19,8 @@ from .common import columns_with, partitions, unused
 #: Rows sampled for each partition, and the sampled copies from which a text is frequent.
 SAMPLE_PER_PARTITION = 200
 FREQUENT_COPIES = 25
+#: Characters of a text that range-partition it, before a hash of all of it.
+HEAD = 24
 
 
 def _frequent_keys(docs: DataFrame, text: Column) -> list[int]:
@@ -46,17 +48,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     column's name are replaced by it.
     """
     best = {"max": F.max, "min": F.min}[keep]
-    t, k, g = unused(docs, "x_text", "x_keep", "x_size")
+    t, k, g, head, mark = unused(docs, "x_text", "x_keep", "x_size", "x_head", "x_mark")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     frequent = _frequent_keys(docs, text)
     rows = docs.withColumn(t, text)
     is_frequent = F.xxhash64(t).isin(frequent) if frequent else F.lit(False)
 
-    equal = Window.partitionBy(t)
+    # The splitters' sample goes to the driver, so it holds each text's head and a hash, not the text;
+    # texts that share a head are spread by the hash. Equality is judged on the whole text.
+    equal = Window.partitionBy(head, mark, t)
     found = (
         rows.where(~is_frequent)
-        .repartitionByRange(partitions(docs.sparkSession), F.col(t))
+        .withColumns({head: F.substring(t, 1, HEAD), mark: F.xxhash64(t)})
+        .repartitionByRange(partitions(docs.sparkSession), F.col(head), F.col(mark))
         .withColumns({k: best(id_col).over(equal), g: F.count(F.lit(1)).over(equal)})
+        .drop(head, mark)
     )
     if frequent:
         (s,) = unused(docs, "x_sha")

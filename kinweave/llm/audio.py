@@ -4,9 +4,9 @@ A recording is a binary column of WAV bytes. Its spectrum is folded into twelve
 pitch classes a frame; an integral image of the frames lets each of sixteen
 filters compare rectangles in four reads, and two bits a filter, Gray-coded,
 pack a window of frames into one 32-bit integer. Two recordings align at an
-offset where their integers agree: equal halves of integers vote in a histogram
-of offsets, and the share of differing bits over the overlap at the winning
-offset decides.
+offset where their integers agree: integers that are equal but for one byte vote
+in a histogram of offsets, and the share of differing bits over the overlap at
+the winning offset decides.
 
 A search states its queries. They are handled in blocks of bounded size, whose
 index is broadcast; every recording meets each block in one vectorised pass.
@@ -32,7 +32,7 @@ WINDOW = 8
 LEVELS = (-0.35, 0.0, 0.35)
 #: Queries in a block; votes and overlap a match needs; share of bits that may differ.
 BLOCK_QUERIES = 2048
-LEAST_VOTES = 3
+LEAST_VOTES = 4
 LEAST_OVERLAP = 0.5
 MOST_ERRORS = 0.15
 
@@ -153,7 +153,7 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 class Block:
-    """An index of some queries' integers by their halves."""
+    """An index of some queries' integers, each without one of its bytes."""
 
     def __init__(self, ids: list, prints: list[np.ndarray]):
         self.ids, self.prints = ids, [np.asarray(p, np.int32).view(np.uint32) for p in prints]
@@ -161,42 +161,43 @@ class Block:
         owner = np.repeat(np.arange(len(ids)), [len(p) for p in self.prints])
         place = np.concatenate([*[np.arange(len(p)) for p in self.prints], np.zeros(0, np.int64)])
         heard = flat != _SILENCE
-        keys = _halves(flat[heard])
+        keys = _keys(flat[heard])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.owner, self.place = np.tile(owner[heard], 2)[order], np.tile(place[heard], 2)[order]
+        self.owner, self.place = np.tile(owner[heard], 4)[order], np.tile(place[heard], 4)[order]
 
     def align(self, recording: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(query, offset, votes, overlap, differing bits) of each query that matches; the query starts ``offset`` frames in."""
         heard = np.flatnonzero(recording != _SILENCE)
-        keys = _halves(recording[heard])
+        keys = _keys(recording[heard])
         lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        shift = np.repeat(np.tile(heard, 2), n) - self.place[at]
+        shift = np.repeat(np.tile(heard, 4), n) - self.place[at]
         span = np.int64(1) << np.int64(32)
         bins, votes = np.unique(self.owner[at] * span + shift + (span >> np.int64(1)), return_counts=True)
-        out = []
-        if not len(bins):
-            return out
+        full = votes >= LEAST_VOTES
+        bins, votes = bins[full], votes[full]
         query, offset = bins // span, bins % span - (span >> np.int64(1))
-        for q in np.unique(query[votes >= LEAST_VOTES]).tolist():
-            mine = query == q
-            # the three fullest bins: votes of halves can favour a neighbour of the true offset
-            best = sorted(zip((-votes[mine]).tolist(), np.abs(offset[mine]).tolist(), offset[mine].tolist(), strict=True))[:3]
+        best: dict[int, list[tuple]] = {}
+        for k in np.lexsort((offset, np.abs(offset), -votes, query)).tolist():
+            best.setdefault(int(query[k]), []).append((int(offset[k]), int(votes[k])))
+        out = []
+        for q, bins_of_q in best.items():
             found = []
-            for v, _, o in best:
+            for o, v in bins_of_q[:3]:  # a neighbour of the true offset can get more votes
                 wrong, overlap = errors(self.prints[q], recording, o)
                 if overlap >= LEAST_OVERLAP * min(len(self.prints[q]), len(recording)) and wrong <= MOST_ERRORS * 32 * overlap:
-                    found.append((wrong / (32 * overlap), -overlap, o, -v, wrong))
+                    found.append((wrong / (32 * overlap), -overlap, o, v, wrong))
             if found:
                 _, overlap, o, v, wrong = min(found)
                 out.append((q, o, v, -overlap, wrong))
         return out
 
 
-def _halves(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x >> np.uint32(16), x & np.uint32(0xFFFF) | np.uint32(1 << 16)])
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Each integer without one of its four bytes, by the byte left out."""
+    return np.concatenate([(x & np.uint32(0xFFFFFFFF ^ 0xFF << 8 * j)).astype(np.uint64) | np.uint64(j << 32) for j in range(4)])
 
 
 def errors(query: np.ndarray, recording: np.ndarray, offset: int) -> tuple[int, int]:
@@ -273,6 +274,15 @@ def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def audio_matches(spark, sf_dir: str) -> DataFrame:
-    """Every recording that aligns with one whose id is divisible by 100."""
+    """Every recording held against all whose id is divisible by 100: ``vec_id, n_frames, n_matches``, the sum of the
+    matching query ids, and the alignment of the least error rate (ties by query id); nulls without a match.
+
+    One row a recording, whatever the size of a group of alike ones: a
+    recording's matches are combined where they are found.
+    """
     prints = cut(fingerprints(render(table(spark, sf_dir, "embeddings")), "id", "media"), "fingerprints")
-    return audio_search(prints, prints.where("id % 100 = 0"))
+    found = audio_search(prints, prints.where("id % 100 = 0"))
+    best = F.min_by(F.struct("query_id", "offset", "votes", "overlap", "bit_errors", "error_rate"), F.struct("error_rate", "query_id"))
+    by_recording = found.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_matches"), F.sum("query_id").alias("sum_query_ids"), best.alias("best"))
+    rows = prints.join(by_recording, F.col("id") == F.col("match_id"), "left")
+    return rows.select(F.col("id").alias("vec_id"), F.size("fingerprint").alias("n_frames"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "sum_query_ids", "best.*")

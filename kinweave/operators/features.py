@@ -77,10 +77,15 @@ def pair_features(pairs: DataFrame, query: DataFrame, pool: DataFrame, universe:
     """C4: the matcher's features for the blocker's pairs; similarities are null where a side is empty.
 
     ``universe`` is the full query split where ``query`` is a sample of it.
-    Frequencies count on each record once, before the join to pairs.
+    Frequencies count on each record once, before the join to pairs. ``pairs``
+    is read more than once; materialise it if it is costly.
     """
     freq = {"pool_name_freq": "name_normalized", "pool_core_freq": "name_core", "pool_addr_freq": "address_normalized"}
     pool_counts = pool.select("country", F.col("entity_id").alias("pool_id"), *[F.log1p(tokens.value_frequency(pool, c)).alias(n) for n, c in freq.items()])
+    # these joins read their pairs several times: before the similarities, not after
+    for prefix, words in (("nt", "name_tokens"), ("at", "address_tokens")):
+        left, right = (df.withColumnRenamed("entity_id", k) for df, k in ((query, "s1_id"), (pool, "pool_id")))
+        pairs = tokens.weighted_overlap(pairs, left, right, tokens.document_frequency(pool, words), words, ("s1_id", "pool_id"), prefix)
     whole = query if universe is None else universe
     s1_counts = whole.select("country", F.col("entity_id").alias("s1_id"), F.log1p(tokens.value_frequency(whole, "name_core")).alias("s1_core_freq"), F.log1p(tokens.value_frequency(whole, "address_normalized")).alias("s1_addr_freq"))
     rows = with_sides(pairs, query, pool).join(pool_counts, ["country", "pool_id"]).join(s1_counts, ["country", "s1_id"])
@@ -94,10 +99,6 @@ def pair_features(pairs: DataFrame, query: DataFrame, pool: DataFrame, universe:
     rows = rows.withColumn("name_script_match", (F.col("name_script_1") == F.col("name_script_2")).cast("int"))
     rows = rows.withColumns({"pool_addr_freq": F.when(F.col("addr_missing_2") == 0, F.col("pool_addr_freq")), "s1_addr_freq": F.when(F.col("addr_missing_1") == 0, F.col("s1_addr_freq"))})
     rows = relative(rows)
-    for prefix, words in (("nt", "name_tokens"), ("at", "address_tokens")):
-        stats = tokens.document_frequency(pool, words)
-        left, right = (df.withColumnRenamed("entity_id", k) for df, k in ((query, "s1_id"), (pool, "pool_id")))
-        rows = tokens.weighted_overlap(rows, left, right, stats, words, ("s1_id", "pool_id"), prefix)
     return rows.drop("source", *[f"{c}_{s}" for c in SIDE if c != "name_script" for s in (1, 2)])
 
 

@@ -77,18 +77,23 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_search(query: DataFrame, pool: DataFrame, k: int = 30, group: str = "label", block_rows: int = 4096) -> DataFrame:
     """Exact cosine neighbours ``q_id, p_id, dense_score, dense_rank`` within ``group``.
 
-    ``query`` and ``pool`` have ``id, group, vec``. The query set is stated and
-    cut into blocks of about ``block_rows``; every block meets the pool rows of
-    its group as one matrix product for each Arrow batch and keeps its best
-    ``k`` of that batch, so what leaves a batch is k rows a query, not pairs.
+    ``query`` and ``pool`` have ``id, group, vec``. The query set is stated.
+    Both sides are cut into lists of about ``block_rows`` vectors of a group;
+    two lists meet as one matrix product and keep each query's best ``k``, so
+    what leaves the product is k rows a query, not pairs.
     """
     import numpy as np
     import pyarrow as pa
 
     q_type = query.schema["id"].dataType.simpleString()
-    blocks = query.select(group, F.col("id").alias("q_id"), F.col("vec").alias("q_vec")).withColumn("b", F.pmod(F.xxhash64("q_id"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy(group)) / block_rows)))
-    packed = blocks.groupBy(group, "b").agg(F.collect_list("q_id").alias("q_ids"), F.collect_list("q_vec").alias("q_vecs"))
-    meet = pool.select(group, F.col("id").alias("p_id"), F.col("vec").alias("p_vec")).withColumn("s", F.pmod(F.xxhash64("p_id"), F.lit(64))).groupBy(group, "s").agg(F.collect_list("p_id").alias("p_ids"), F.collect_list("p_vec").alias("p_vecs"))
+
+    def packed_rows(df: DataFrame, side: str) -> DataFrame:
+        # lists of about ``block_rows`` vectors, however large a group is
+        sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("lists"))
+        rows = df.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("lists")))
+        return rows.groupBy(group, "part").agg(F.collect_list("id").alias(f"{side}_ids"), F.collect_list("vec").alias(f"{side}_vecs")).drop("part")
+
+    packed, meet = packed_rows(query, "q"), packed_rows(pool, "p")
 
     def unit(vectors: list) -> np.ndarray:
         m = np.array(vectors, np.float64)

@@ -64,3 +64,19 @@ def orphan_world(pairs: DataFrame, share: float, entity: str = "s1_id", seed: in
     """Pairs of a world from which a random share of the entities is gone."""
     gone = bernoulli(pairs.select(entity).distinct(), entity, share, seed)
     return pairs.join(gone, entity, "left_anti")
+
+
+def street_swaps(records: DataFrame, address_col: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` augmented addresses: a record's house number with another record's street, the rest kept.
+
+    Only records whose address parses to a number and a street take part; each
+    of the first ``n`` by a seeded rank takes the street of the next one.
+    """
+    from .graph import parsed_address
+
+    rank = draw(F.col("entity_id"), seed)
+    rows = records.select("entity_id", address_col, parsed_address(address_col).alias("a")).where(F.col("a")["number"].isNotNull() & (F.col("a")["street"] != ""))
+    chosen = rows.orderBy(rank, "entity_id").limit(n + 1)  # bounded by n
+    order = Window.orderBy(draw(F.col("entity_id"), seed), "entity_id")
+    swapped = chosen.withColumn("other", F.lead(F.col("a")["street"]).over(order)).where(F.col("other").isNotNull())
+    return swapped.select("entity_id", F.col(address_col).alias("address"), F.concat_ws(", ", F.concat_ws(" ", F.col("a")["number"], F.col("other")), F.nullif(F.col("a")["rest"], F.lit(""))).alias("swapped"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ADDRESS_WORDS, LEGAL_TOKENS, NAME_WORDS, normalize_records
 from ..operators.blocking import Config
+from ..sources.io import materialize
 
 #: Caps scaled to the fixture, so that they cut.
 CFG = Config(df_cap=20, exact_cap=20, name_bigram_cap=20, address_bigram_cap=20, prefix_cap=20, max_candidates=10)
@@ -36,7 +37,8 @@ def linkage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = linkage_records(spark, sf_dir)
+    # retrieval reads the records once for each rule and side, so they are normalised once
+    found = materialize(linkage_records(spark, sf_dir), "records")
     return found.where("source = 'S1'"), found.where("source <> 'S1'")
 
 

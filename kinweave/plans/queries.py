@@ -81,8 +81,13 @@ def truth_round_trip(spark, sf_dir):
 @query(f"with {RECORDS_SQL} {block_sql()}, t as (select 'name: ' || lower(trim(name_original)) || ' address: ' || lower(trim(address_original)) as text, entity_id, country from recs) select distinct sha256(t.text) as rid, t.text from ranked r join t on t.country = r.country and (t.entity_id = r.s1_id or t.entity_id = r.pool_id)")
 def hand_off_records(spark, sf_dir):
     """Distinct record texts of all candidates for a model elsewhere."""
+    return io.hand_off(*_linked(spark, sf_dir))[0]
+
+
+def _linked(spark, sf_dir):
+    """(candidates, query side, pool), all materialised."""
     s1, pool = sides(spark, sf_dir)
-    return io.hand_off(blocking.block(blocking.records(s1), blocking.records(pool), CFG), s1, pool)[0]
+    return io.materialize(blocking.block(blocking.records(s1), blocking.records(pool), CFG), "candidates"), s1, pool
 
 
 # ---- normalisation
@@ -187,8 +192,8 @@ select r.country, r.s1_id, r.pool_id, round(case when a.s is not null and b.s is
 from ranked r left join sh using (country, s1_id, pool_id) left join tot a on a.country = r.country and a.id = r.s1_id left join tot b on b.country = r.country and b.id = r.pool_id""")
 def idf_overlap(spark, sf_dir):
     """T11, T12 of the candidates' names."""
-    s1, pool = sides(spark, sf_dir)
-    pairs = blocking.block(blocking.records(s1), blocking.records(pool), CFG).select("country", "s1_id", "pool_id")
+    found, s1, pool = _linked(spark, sf_dir)
+    pairs = found.select("country", "s1_id", "pool_id")
     left, right = s1.withColumnRenamed("entity_id", "s1_id"), pool.withColumnRenamed("entity_id", "pool_id")
     rows = tokens.weighted_overlap(pairs, left, right, tokens.document_frequency(pool, "name_tokens"), "name_tokens", ("s1_id", "pool_id"), "nt")
     return rows.select("country", "s1_id", "pool_id", *r6("nt_idf_cos", "nt_idf_ov1", "nt_idf_ov2"))
@@ -368,22 +373,20 @@ def pair_flags(spark, sf_dir):
 @query()
 def matcher_features(spark, sf_dir):
     """All features of the candidates; similarities have no SQL."""
-    s1, pool = sides(spark, sf_dir)
-    return features.pair_features(blocking.block(blocking.records(s1), blocking.records(pool), CFG), s1, pool)
+    return features.pair_features(*_linked(spark, sf_dir))
 
 
 @query()
 def filter_features(spark, sf_dir):
     """C5, M7."""
-    s1, pool = sides(spark, sf_dir)
-    return features.filter_features(blocking.block(blocking.records(s1), blocking.records(pool), CFG), s1, pool)
+    return features.filter_features(*_linked(spark, sf_dir))
 
 
 @query()
 def graph_features(spark, sf_dir):
     """Siblings and address structure of the candidates."""
-    s1, pool = sides(spark, sf_dir)
-    pairs = blocking.block(blocking.records(s1), blocking.records(pool), CFG).withColumn("p", F.least(F.col("rank_score") / 2.5, F.lit(1.0)))
+    found, s1, pool = _linked(spark, sf_dir)
+    pairs = found.withColumn("p", F.least(F.col("rank_score") / 2.5, F.lit(1.0)))
     parsed = [df.select("country", F.col("entity_id").alias(k), *extra, graph.parsed_address("address_original").alias(a)) for df, k, a, extra in ((s1, "s1_id", "a1", []), (pool, "pool_id", "a2", [F.col("name_normalized").alias("name"), F.col("address_normalized").alias("addr")]))]
     rows = pairs.join(parsed[0], ["country", "s1_id"]).join(parsed[1], ["country", "pool_id"])
     rows = graph.address_structure(graph.siblings(rows, ("country", "s1_id")), "a1", "a2")
@@ -610,8 +613,8 @@ def set_operations(spark, sf_dir):
 @query()
 def second_hop(spark, sf_dir):
     """Anchors are confident candidates."""
-    s1, pool = sides(spark, sf_dir)
-    first = blocking.block(blocking.records(s1), blocking.records(pool), CFG).withColumn("q", F.least(F.col("rank_score") / 2.5, F.lit(1.0)))
+    found, s1, pool = _linked(spark, sf_dir)
+    first = found.withColumn("q", F.least(F.col("rank_score") / 2.5, F.lit(1.0)))
     return hops.second_hop(hops.anchors(first, 0.3), first, pool, CFG)
 
 

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path.toString()
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that several branches read."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated records with a header; an empty field is null."""
     return spark.read.csv(path, sep="\t", header=True, schema=RAW, quote="", escape="")

@@ -157,3 +157,11 @@ def test_dense_search(spark):
     for q in range(0, 60, 10):
         order = sorted((p for p in range(60) if p != q and p % 2 == q % 2), key=lambda p: -unit[q] @ unit[p])
         assert [got[q, k + 1] for k in range(5)] == order[:5]
+
+
+def test_street_swaps(spark):
+    rows = [(f"e{i}", f"{i + 1} {s} street, Town") for i, s in enumerate(["alder", "birch", "cedar"])] + [("x", "nowhere"), ("y", None)]
+    got = sampling.street_swaps(spark.createDataFrame(rows, "entity_id string, address string"), "address", 2).collect()
+    assert len(got) == 2
+    for r in got:
+        assert r["swapped"].split()[0] == r["address"].split()[0] and r["swapped"].endswith(", town") and r["swapped"].split()[1] not in r["address"].lower()

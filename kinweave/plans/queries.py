@@ -170,7 +170,7 @@ def token_jaccard(spark, sf_dir):
 @query(f"with {RECORDS_SQL} {block_sql()} select country, token, df, round(idf, 6) as idf from name_df")
 def token_idf(spark, sf_dir):
     """T1-T5."""
-    return tokens.document_frequency(sides(spark, sf_dir)[1], "name_tokens").select("country", "token", "df", *r6("idf"))
+    return tokens.document_frequency(linkage_records(spark, sf_dir).where("source <> 'S1'"), "name_tokens").select("country", "token", "df", *r6("idf"))
 
 
 SETS_SQL = """, p as (select r.country, r.s1_id, r.pool_id, list_distinct(a.nt) as x, list_distinct(b.nt) as y from ranked r join canon a on a.country = r.country and a.id = r.s1_id join canon b on b.country = r.country and b.id = r.pool_id),
@@ -210,8 +210,10 @@ def value_frequency(spark, sf_dir):
 # ---- joins and retrieval
 
 def _keys(spark, sf_dir):
-    s1, pool = sides(spark, sf_dir)
-    return blocking.records(s1), blocking.records(pool)
+    """Both sides with the columns of retrieval alone, normalised once."""
+    needed = ("entity_id", "country", "source", "name_tokens", "address_tokens", "name_normalized", "name_compact", "name_core", "postal_code")
+    found = io.materialize(linkage_records(spark, sf_dir).select(*needed), "keys")
+    return blocking.records(found.where("source = 'S1'")), blocking.records(found.where("source <> 'S1'"))
 
 
 @query(f"with {RECORDS_SQL} {block_sql()} select country, s1_id, pool_id, n, round(w, 6) as w from addr_hits")

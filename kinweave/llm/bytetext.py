@@ -2,9 +2,10 @@
 
 Text is handled as UTF-8 bytes. A word is a maximal run of bytes outside
 ``0x20`` and ``0x09``-``0x0D``; only ``A``-``Z`` are lower-cased. Words are
-hashed with a polynomial over uint64 whose prefix sums give every word of a
-batch in a few numpy passes; work is cut into segments of ``SEGMENT`` bytes at
-word starts, so memory follows the batch and not the longest text.
+hashed with polynomials modulo two primes (modulo a power of two some words
+would agree for every base) whose prefix sums give every word of a batch in a
+few numpy passes; work is cut into segments of ``SEGMENT`` bytes at word starts,
+so memory follows the batch and not the longest text.
 """
 
 from __future__ import annotations
@@ -19,27 +20,30 @@ SEGMENT = 1 << 20
 SLICE_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _TRIPLE = _rng.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: (prime, base) of the two polynomials.
+_FIELDS = (((1 << 31) - 1, 1_327_217_885), ((1 << 31) - 19, 902_433_331))
+#: Bytes whose codes times powers, below 2^39 each, add up to less than 2^63.
+_UNREDUCED = 1 << 23
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [np.ones(1, np.int64)] * (2 * len(_FIELDS))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of each base and of its inverse, modulo its prime."""
     if len(_powers[0]) < n:
         size = max(n, SEGMENT + (1 << 16))
-        for k, b in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+        for k, (prime, base) in enumerate((p, x) for p, b in _FIELDS for x in (b, pow(b, -1, p))):
+            table = np.ones(1, np.int64)
+            while len(table) < size:
+                table = np.concatenate([table, table * pow(base, len(table), prime) % prime])
+            _powers[k] = table[:size]
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,19 +95,25 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run ``data[starts[i]:ends[i]]``; the runs ascend and don't overlap."""
+    """A hash of each run ``data[starts[i]:ends[i]]``, 62 bits mixed into 64; the runs ascend and don't overlap."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         lo = int(starts[at])
         stop = max(int(np.searchsorted(starts, lo + SEGMENT)), at + 1)
         hi = int(ends[stop - 1])
-        power, inverse = _power_tables(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_CODE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
+        tables = _power_tables(hi - lo + 1)
+        code = data[lo:hi].astype(np.int64) + 1
         s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        out[at:stop] = (sums[e] - sums[s]) * inverse[s]
+        found = np.zeros(stop - at, np.int64)
+        for k, (prime, _) in enumerate(_FIELDS):
+            terms = code * tables[2 * k][: hi - lo]
+            if hi - lo > _UNREDUCED:
+                terms %= prime
+            sums = np.zeros(hi - lo + 1, np.int64)
+            np.cumsum(terms, out=sums[1:])
+            found = found << 31 | (sums[e] - sums[s]) % prime * tables[2 * k + 1][s] % prime
+        out[at:stop] = found.view(np.uint64)
         at = stop
     return mix(out)
 

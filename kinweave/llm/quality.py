@@ -14,15 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .common import id_remainder, unused
 from .features import ngrams
 
-#: Labelled rows that training reads at most, and the features' index bits.
+#: Labelled rows that training reads at most, bytes of their texts, and the features' index bits.
 TRAIN_ROWS = 12_000
+TRAIN_BYTES = 96 << 20
 BITS = 20
 
 
@@ -67,17 +68,25 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
     return Model(solve(z, n).astype(np.float32), float(-zb / ((beta + nb**0.5) / alpha)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, train_rows: int) -> DataFrame:
-    """A bounded sample ``(x_text, x_label)`` of the rows with a label, those of the smallest hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, train_rows: int, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """A bounded sample ``(x_id, x_text, x_label)`` of the rows with a label, those of the smallest hash of the id.
 
     Rows without id or label are left out; of several labels of an id the
-    largest counts; only one row of an id is read.
+    largest counts; of several texts that of the least SHA-256, so reruns
+    agree. Rows are read in the order of the hash as long as their texts have
+    ``train_bytes`` together, one text at most a sixteenth of that.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("x_label"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).withColumnRenamed("doc_id", "x_key")
     texts = docs.select(F.col(id_col).alias("x_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x_text"))
     # bounded by train_rows, so it may be broadcast
-    return texts.join(F.broadcast(marks), F.col("x_id") == F.col("x_key")).select("x_id", "x_text", "x_label")
+    rows = texts.join(F.broadcast(marks), F.col("x_id") == F.col("x_key"))
+    rows = rows.groupBy("x_id", "x_label").agg(F.min(F.struct(F.sha2("x_text", 256).alias("sha"), F.col("x_text").alias("text")))["text"].alias("x_text"))
+    size = F.octet_length("x_text")
+    # one task for train_rows rows at most
+    so_far = Window.orderBy(F.xxhash64("x_id"), "x_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.where(size <= train_bytes // 16).withColumn("x_sum", F.sum(size).over(so_far))
+    return rows.where(F.col("x_sum") <= train_bytes).select("x_id", "x_text", "x_label")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
@@ -98,12 +107,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
 
     kind = found.schema["x_id"].dataType.simpleString()
     rows = found.mapInArrow(featurise, f"id {kind}, at binary, x binary, label int").toArrow()
-    rows = rows.take(np.lexsort([rows["id"].to_numpy(), [hash_order(i) for i in rows["id"].to_pylist()]])) if len(rows) else rows
-    seen, data = set(), []
-    for i, at, x, y in zip(*(rows[c].to_pylist() for c in ("id", "at", "x", "label")), strict=True):
-        if i not in seen:
-            seen.add(i)
-            data.append((np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), 1 if y > 0 else 0))
+    data = sorted(zip(*(rows[c].to_pylist() for c in ("id", "at", "x", "label")), strict=True), key=lambda r: (hash_order(r[0]), str(r[0])))
+    data = [(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), 1 if y > 0 else 0) for _, at, x, y in data]
     return train_ftrl(data)
 
 

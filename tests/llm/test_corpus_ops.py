@@ -310,25 +310,81 @@ def test_audio_search_finds_what_brute_force_finds(spark):
     want = {}
     for q in (i for i in prints if i % 100 == 0):
         for i in prints:
-            tried = [(w / (32 * n), o) for o in range(-80, 81) if (n := audio.errors(prints[q], prints[i], o)[1]) >= 0.5 * min(len(prints[q]), len(prints[i])) and (w := audio.errors(prints[q], prints[i], o)[0]) >= 0]
-            if i != q and min(tried)[0] <= audio.MOST_ERRORS:
-                want[q, i] = min(tried)
+            rate, _, _, o, _ = best_offset(prints[q], prints[i])
+            if i != q and rate / 32 <= audio.MOST_ERRORS:
+                want[q, i] = rate / 32, o
     assert len(want) >= 8 and set(got) <= set(want) and len(set(got) & set(want)) >= 0.9 * len(want)
     for pair in set(got) & set(want):
         lead = (pair[1] % 7) - (pair[0] % 7)
         assert got[pair]["offset"] == want[pair][1] and got[pair]["error_rate"] == pytest.approx(want[pair][0]) and abs(got[pair]["offset"] - lead) <= 2
 
 
-def test_audio_blocks_and_odd_media(spark, monkeypatch):
+def best_offset(a, b):
+    """The least (share of differing bits, -overlap, distance, offset) over all offsets, by comparing at each."""
+    tried = []
+    for o in range(1 - len(a), len(b)):
+        wrong, n = audio.errors(a, b, o)
+        if n >= audio.LEAST_OVERLAP * min(len(a), len(b)):
+            tried.append((wrong / n, -n, abs(o), o, wrong))
+    return min(tried)
+
+
+def test_align_is_exact_at_every_offset():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        a = rng.integers(0, 1 << 32, rng.integers(1, 60), dtype=np.uint32)
+        b = np.concatenate([rng.integers(0, 1 << 32, rng.integers(0, 30), dtype=np.uint32), a ^ (rng.random(len(a)) < 0.3).astype(np.uint32), a[: rng.integers(0, len(a))]])
+        rate, n, _, o, wrong = best_offset(a, b)
+        assert audio.align(a, b) == (o, audio.votes_at(a, b, o), -n, wrong)
+        assert audio.align(a, ~a) is None or len(a) > 1
+    assert audio.align(a, a[:0]) is None
+
+
+def test_recall_against_brute_force_on_many_recordings(spark):
+    df = audio.fingerprints(audio.render(spark.createDataFrame(tunes(1500, seed=4), "vec_id long, embedding array<double>")), "id", "media")
+    prints = {r["id"]: np.array(r["fingerprint"], np.int32).view(np.uint32) for r in df.collect()}
+    queries = [i for i in prints if i % 300 == 0]
+    got = {(r["query_id"], r["match_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in audio.audio_search(df, df.where("id % 300 = 0")).collect()}
+    want = {(q, i): (x[0], x[2], x[3]) for q in queries for i in prints if i != q and (x := audio.align(prints[q], prints[i]))}
+    # whatever shares a bin of keys is compared at every offset, so what is found is exact
+    assert len(want) >= 90 and set(got) <= set(want) and len(got) >= 0.9 * len(want) and all(got[p] == want[p] for p in got)
+
+
+def test_steady_tones_are_short_runs():
+    t = np.arange(20 * 4000) / 4000
+    hum = audio.fingerprint(audio.chroma(np.sin(2 * np.pi * 440 * t), 4000))
+    keys, places, lengths = audio.key_runs(hum)
+    assert len(keys) < 40 and audio.align(hum, hum[104:])[2] == len(hum) - 104
+
+
+def test_matches_by_recording_equal_the_pairs(spark):
+    vectors = tunes(30)
+    vectors += [(7 + 700 * k, vectors[0][1]) for k in range(1, 6)] + [(5000, vectors[0][1]), (9800, vectors[0][1]), (16800, vectors[0][1]), (20_000, [float("nan")] * 64), (20_001, [1.0, float("nan"), None] * 30), (None, vectors[0][1])]
+    prints = audio.fingerprints(audio.render(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")), "id", "media")
+    pairs = defaultdict(list)
+    for r in audio.audio_search(prints, prints.where("id % 20 = 0")).collect():
+        pairs[r["match_id"]].append(r)
+    rows = audio.matches_by_recording(prints, F.col("id") % 20 == 0).collect()
+    assert len(rows) == len(vectors)
+    for r in rows:
+        mine = pairs.get(r["vec_id"], [])
+        assert r["n_matches"] == len(mine) and (r["sum_query_ids"] or 0) == sum(p["query_id"] for p in mine)
+        if mine:
+            best = min(mine, key=lambda p: (p["error_rate"], p["query_id"]))
+            assert all(r[c] == best[c] for c in ("query_id", "offset", "votes", "overlap", "bit_errors", "error_rate"))
+        else:
+            assert r["query_id"] is None
+    assert audio.matches_by_recording(prints.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_odd_media_match_nothing(spark):
     good = spark.createDataFrame(tunes(24), "vec_id long, embedding array<double>")
     media = audio.render(good).unionByName(spark.createDataFrame([(1000, None), (1001, b""), (1002, b"RIFFxxxxWAVE"), (None, b"x"), (1003, audio.encode_wav(np.zeros(9000), 4000)), (1004, audio.encode_wav(np.zeros(3), 4000))], "id long, media binary"))
     prints = audio.fingerprints(media, "id", "media")
     sizes = {r["id"]: len(r["fingerprint"]) for r in prints.collect()}
     assert sizes[1000] == sizes[1001] == sizes[1002] == sizes[1004] == 0 and sizes[1003] > 0
-    one = sorted(audio.audio_search(prints, prints.where("id % 20 = 0")).collect())
-    monkeypatch.setattr(audio, "BLOCK_QUERIES", 3)
-    assert sorted(audio.audio_search(prints, prints.where("id % 20 = 0")).collect()) == one
-    assert not any(1003 in (r["query_id"], r["match_id"]) for r in one)
+    one = sorted(audio.audio_search(prints, prints.where("id % 20 = 0 or id > 999")).collect())
+    assert one and not any(x > 999 for r in one for x in (r["query_id"], r["match_id"]))
     assert audio.audio_search(prints.limit(0), prints.limit(0)).count() == 0
 
 

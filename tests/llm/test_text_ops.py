@@ -109,16 +109,79 @@ def test_neighbours_are_exact(monkeypatch):
     for _ in range(60):
         t = np.sort(rng.choice(20, rng.integers(1, 6), replace=False))
         vectors.append((t, rng.integers(1, 5, len(t))))
-    index = toxicity.BlockMaxIndex.build(list(range(60)), rng.integers(0, 2, 60).tolist(), vectors, idf, 0.1)
+    owner, term, counts = np.repeat(np.arange(60), [len(t) for t, _ in vectors]), np.concatenate([t for t, _ in vectors]), np.concatenate([c for _, c in vectors])
+    texts = np.arange(60) // 2  # two examples of each text
+    index = toxicity.BlockMaxIndex.build(rng.integers(0, 2, 60), texts, owner, term, counts, idf, 0.1)
     dense = np.zeros((60, 20))
     for i, (t, c) in enumerate(vectors):
-        dense[i, t] = index.unit(t, c, idf)[1]
+        dense[i, t] = index.unit(t, c)
     for q in range(60):
-        near = index.nearest(*index.unit(*vectors[q], idf), k=7, without=q)
+        t, c = vectors[q]
+        cosines, examples = index.nearest(t, index.unit(t, c), k=7, text=q // 2)
         sims = dense @ dense[q]
-        sims[q] = -1
+        sims[texts == q // 2] = -1
         want = np.sort(sims[sims > 1e-12])[::-1][:7]
-        assert np.allclose([s for s, _ in near], want) and all(index.ids[e] != q for _, e in near)
+        assert np.allclose(cosines, want) and np.allclose(sims[examples], cosines)
+
+
+def test_vocabulary_finds_what_it_holds():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 300, 5000):
+        known = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        asked = np.concatenate([rng.permutation(known), rng.integers(0, 1 << 64, 400, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, k = toxicity.Vocabulary(known).find(asked)
+        assert (known[k] == asked[at]).all() and len(at) == np.isin(asked, known).sum()
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    for n in (1024, 4096):
+        data, offsets = bt.buffers(pa.array([thue_morse(n), thue_morse(n, 1)]))
+        a, b = bt.words(data, offsets)[0]
+        assert a != b
+
+
+def test_toxicity_depends_on_the_text_alone(spark):
+    docs, labels, known = classifier_docs(spark)
+    moved = docs.withColumn("doc_id", F.col("doc_id") + 100_000).withColumns({"lang": F.lit("xx"), "source": F.lit("other")})
+    rows = toxicity.toxicity(docs.unionByName(moved), labels).collect()
+    scores = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == 600 and all(scores[i] == scores[i + 100_000] for i in range(300))
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,0)", "string", "binary"])
+def test_toxicity_with_any_id_type(spark, kind):
+    docs, labels, known = classifier_docs(spark, n=120)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string").cast(kind))
+    labels = labels.withColumn("doc_id", F.col("doc_id").cast("string").cast(kind))
+    got = toxicity.toxicity(docs, labels)
+    assert dict(got.dtypes)["doc_id"] == kind and got.count() == 120
+    assert toxicity.without_toxic(docs, labels).schema == docs.schema
+
+
+def test_without_toxic_judges_rows_not_ids(spark):
+    docs, labels, known = classifier_docs(spark)
+    bad, clean = "alpha1 vile nasty beta2 rotten gamma3 vile nasty", "alpha1 beta2 gamma3 delta4 omega5 alpha6"
+    extra = [(None, bad), (None, clean), (900, bad), (900, clean), (901, None), (901, "")]
+    more = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in extra], docs.schema)
+    kept = toxicity.without_toxic(docs.unionByName(more), labels).collect()
+    assert [(r["doc_id"], r["text"]) for r in kept if (r["doc_id"], r["text"]) in extra] == [e for e in extra if e[1] != bad]
+
+
+def test_repeated_label_ids_teach_the_same_text_each_time(spark):
+    docs, labels, known = classifier_docs(spark)
+    twice = docs.unionByName(docs.where("doc_id < 60").withColumn("text", F.concat(F.lit("another rotten "), "text")))
+    runs = [sorted((r["doc_id"], r["score"]) for r in op(twice.repartition(n), labels).collect()) for n in (2, 5) for op in (toxicity.toxicity,)]
+    assert runs[0] == runs[1]
+    ratings = labels.withColumnRenamed("toxic", "quality")
+    runs = [sorted((r["doc_id"], r["score"]) for r in quality.quality(twice.repartition(n), ratings).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1]
+
+
+def test_training_texts_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(50)], "doc_id long, text string")
+    marks = labels_of(spark, [(i, i % 2) for i in range(50)], "toxic")
+    n = quality.labelled(docs, marks, "toxic", "doc_id", "text", 40, train_bytes=16_000).count()
+    assert n == 16 and quality.labelled(docs, marks, "toxic", "doc_id", "text", 40).count() == 40
 
 
 def test_toxicity_holds_out_and_separates(spark):

@@ -91,7 +91,7 @@ def near_corpus(seed, n_groups=6, size=30, words=60):
 @pytest.mark.parametrize(("seed", "width", "percent"), [(1, 3, 85), (2, 5, 80)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, width, percent):
     monkeypatch.setattr(minhash, "SMALL_KEY", 4)
-    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "PAIRS_TOGETHER", 8)
     rows = near_corpus(seed)
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, keys string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, width=width, percent=percent).collect()}
@@ -121,12 +121,80 @@ def test_keys_guarantee_the_distance():
     assert not minhash.share_a_key(x, z)
 
 
-def test_tile_links_are_all_similar_pairs():
+def test_prefix_pairs_hold_all_similar_ones(spark):
     rng = random.Random(6)
-    sets = [np.unique(np.array(rng.sample(range(40), rng.randrange(0, 30)), np.uint64)) for _ in range(60)]
-    got = set(minhash.tile_links(sets[:20], sets, 50))
-    want = {(i, j) for i in range(20) for j in range(60) if (a := set(sets[i].tolist())) & (b := set(sets[j].tolist())) and 100 * len(a & b) >= 50 * len(a | b)}
-    assert got == want and all(minhash.similar(sets[i], sets[j], 50) == ((i, j) in want) for i in range(20) for j in range(60) if len(sets[i]) and len(sets[j]))
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(120):
+        words = list(base) if i % 3 else [f"c{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))]
+        for _ in range(rng.randrange(0, 8)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(20)}"
+        rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    nodes = spark.createDataFrame([(i, i % 7) for i, _ in rows], "id long, root long")
+    got = {(r["a"], r["b"]) for r in minhash._prefix_pairs(nodes, texts, 1, 80).collect()}
+    sets = [minhash.word_shingles(t, 1) for _, t in rows]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 7 != j % 7 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(want) > 20 and want <= got and len(got) < 120 * 119 / 2
+
+
+def test_near_duplicates_by_words_not_hashes(spark):
+    def word(n, flip):
+        return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+    rows = [(1, " ".join(word(1024, k % 2) for k in range(3))), (2, " ".join(word(1024, (k + 1) % 2) for k in range(3))), (3, "x y z"), (4, "X\tY z")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    x, y = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, x), (1, y), (2, x), (3, y), (1, None), (9, "other words than these six here")]
+    runs = []
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        runs.append(sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, width=3, percent=85).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 6
+    # id 1 is the document of one of its texts, so it links with 2, with 3 or with neither
+    by = {i: c for i, _, c, _ in runs[0]}
+    assert by[1] == 1 and [by[2], by[3]] in ([1, 3], [2, 1], [2, 3]) and by[9] == 9
+
+
+def test_recall_over_thousands_of_rows(spark):
+    """Families whose similarity straddles the threshold, against an exact inverted index over all rows."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 90))]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.randrange(0, 1 + len(text) // 25)):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    sets = {i: minhash.word_shingles(t, 3) for i, t in rows}
+    index = defaultdict(list)
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in sorted(sets):
+        common = defaultdict(int)
+        for s in sets[i]:
+            for j in index[s]:
+                common[j] += 1
+            index[s].append(i)
+        for j, n in common.items():
+            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                links += 1
+                x, y = top(i), top(j)
+                parent[max(x, y)] = min(x, y)
+    assert links > 3000 and got == {i: top(i) for i in sets}
 
 
 def test_components(spark):

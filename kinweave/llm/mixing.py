@@ -7,7 +7,7 @@ a document within its source into the document's training position. Documents
 are then range-sorted by position.
 
 The cumulative counts use two levels, so a source with a third of all rows is
-not one task: rows fall into ``BUCKETS`` ranges of a hash of the id, sums of
+not one task: rows fall into 4,096 ranges of a hash of id and text, sums of
 the ranges are accumulated for each source, and rows only within their range.
 """
 
@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def row_hash(row_id: Column, text: Column) -> Column:
+    """What orders a source's rows: a digest of id and text, so null and repeated ids with different texts are spread too."""
+    return F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Targets of ``(source, source_size)``: shares of the total by weight, none above ``max_epochs`` sizes.
 
@@ -87,10 +92,9 @@ def invert_schedule(share: Column, schedule: Sequence[tuple[float, float]]) -> C
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], schedules: Sequence[Sequence[tuple[float, float]]], max_epochs: int) -> DataFrame:
-    """``doc_id, source, size, source_size, target`` and ``copies``: epoch, taken and position of each copy that the mix takes."""
-    one = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    """``doc_id, x_hash, source, size, source_size, target`` and ``copies``: epoch, taken and position of each copy that the mix takes."""
+    one = docs.select(F.col(id_col).alias("doc_id"), row_hash(F.col(id_col), F.col(text_col)).alias("x_hash"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     one = cut(one, "mix-sizes")  # the texts are read once
-    one = one.withColumn("x_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     one = one.withColumn("x_bucket", F.substring("x_hash", 1, 3))
     ranges = one.groupBy("source", "x_bucket").agg(F.sum("size").alias("x_sum"))
     so_far = Window.partitionBy("source").orderBy("x_bucket")
@@ -114,14 +118,14 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
             position = p if position is None else F.when(F.col("place") % len(schedules) == j, p).otherwise(position)
         copies.append(F.struct(F.lit(epoch).alias("epoch"), taken.alias("taken"), position.alias("position")))
     taken_ones = F.filter(F.array(*copies), lambda c: c["taken"] > 0)
-    return one.select("doc_id", "source", "size", "source_size", "target", taken_ones.alias("copies"))
+    return one.select("doc_id", "x_hash", "source", "size", "source_size", "target", taken_ones.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row a document: ``doc_id, source, size, source_size, target, taken, position``.
 
     ``size`` counts words, null text 0. A source is read in the order of a hash
-    of the id, over and over, until its target is met; ``taken`` is the words
+    of id and text, over and over, until its target is met; ``taken`` is the words
     the mix takes from the document, repeats counted, and the document at the
     target's edge gives its first words only. So the taken words of a source
     are its target rounded down, and none exceeds ``max_epochs`` sizes.
@@ -145,11 +149,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The training sequence: a row of ``docs`` for each copy that the mix takes, range-sorted by position; same columns.
 
     Copies are whole documents, so a source exceeds its target by less than one
-    document. Of rows that repeat an id the first by size decides for all.
+    document. Each row has its own copies, whatever its id; rows that are equal
+    in id and text share out theirs among themselves.
     """
-    key, copies, position = unused(docs, "x_id", "x_copies", "x_position")
+    key, copies, position, at, source = unused(docs, "x_key", "x_copies", "x_position", "x_at", "x_from")
     plan = _plan(docs, id_col, text_col, source_col, weights, schedules, max_epochs)
-    plan = plan.groupBy("doc_id").agg(F.min_by("copies", "size").alias(copies)).withColumnRenamed("doc_id", key).where(F.size(copies) > 0)
-    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key))).withColumn(position, F.explode(F.col(copies)["position"]))
+    # one list a hash: longer than one entry only where rows are equal
+    plan = plan.groupBy("x_hash", F.col("source").alias(source)).agg(F.collect_list("copies").alias(copies)).where(F.exists(copies, lambda c: F.size(c) > 0)).withColumnRenamed("x_hash", key)
+    (mine,) = unused(docs, "x_mine")
+    rows = docs.withColumn(mine, row_hash(F.col(id_col), F.col(text_col)))
+    rows = rows.join(plan, (F.col(mine) == F.col(key)) & F.col(source_col).eqNullSafe(F.col(source)))
+    single = rows.where(F.size(copies) == 1).withColumn(at, F.lit(1))
+    several = rows.where(F.size(copies) > 1).withColumn(at, F.row_number().over(Window.partitionBy(key, source).orderBy(id_col)))
+    rows = single.unionByName(several).withColumn(position, F.explode(F.get(F.col(copies), F.col(at) - 1)["position"]))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col(position), F.col(id_col)).sortWithinPartitions(position, id_col)
     return columns_with(rows, {}, docs.columns)

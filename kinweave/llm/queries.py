@@ -34,7 +34,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """``position`` is the training time of the first taken word in millionths of the whole, rounded down."""
+    found = curriculum(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("position") * 1e6).cast("long").alias("position"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ SQL = {
     "op3_mixing": r"""
 with recursive one as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as h
+         md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h
   from documents
 ), run as (
   select *, (sum(size) over (partition by source order by h, doc_id, size rows unbounded preceding))::bigint - size as start
@@ -93,7 +95,7 @@ fill(turn, left_words, left_weight) as (
   where c.cap::double < f.left_words::double / f.left_weight::double * c.weight
 ), last as (select * from fill order by turn desc limit 1),
 targets as (
-  select c.source, c.source_size,
+  select c.source, c.source_size, c.place,
          case when c.turn <= l.turn then c.cap::double
               else least(l.left_words::double / l.left_weight::double * c.weight, c.cap::double) end as target
   from caps c cross join last l
@@ -101,7 +103,13 @@ targets as (
 select r.doc_id, r.size, t.source_size, t.target,
        (greatest(0, least(r.size, floor(t.target)::bigint - r.start))
         + greatest(0, least(r.size, floor(t.target)::bigint - t.source_size - r.start))
-        + greatest(0, least(r.size, floor(t.target)::bigint - 2 * t.source_size - r.start)))::bigint as taken
+        + greatest(0, least(r.size, floor(t.target)::bigint - 2 * t.source_size - r.start)))::bigint as taken,
+       case when least(r.size, floor(t.target)::bigint - r.start) > 0 then floor(1e6 * case t.place % 3
+         when 0 then 2 * (r.start / t.target) / (1.5 + sqrt(greatest(2.25 - 2 * (r.start / t.target), 0)))
+         when 1 then r.start / t.target
+         when 2 then case when r.start / t.target < 0.3125 then 2 * (r.start / t.target) / (0.5 + sqrt(0.25 + (r.start / t.target)))
+                          else 0.5 + 2 * (r.start / t.target - 0.3125) / (0.75 + sqrt(0.5625 + 5 * (r.start / t.target - 0.3125))) end
+         end)::bigint end as position
 from run r join targets t on r.source is not distinct from t.source
 """,
     "op7_warc": r"""

@@ -117,12 +117,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             for r in batch.to_pylist():
                 # the interval of keys that begin with the rule's
                 lo, hi = bisect_left(cuts, (r["key"],)), bisect_right(cuts, (r["key"] + _LAST,))
-                out += [{"at": a, "key": r["key"], "is_url": 0, "page_id": None, "host": r["host"], "path": r["path"], "verdict": r["verdict"]} for a in range(lo, hi + 1)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("at", pa.int32()), ("key", pa.string()), ("is_url", pa.int32()), ("page_id", batch_page), ("host", pa.string()), ("path", pa.string()), ("verdict", pa.string())]))
+                out += [{"at": a, "key": r["key"], "is_url": 0, "host": r["host"], "path": r["path"], "verdict": r["verdict"]} for a in range(lo, hi + 1)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("at", pa.int32()), ("key", pa.string()), ("is_url", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("verdict", pa.string())]))
 
-    from .toxicity import batch_type
-
-    batch_page = batch_type(kind)
     schema = f"at int, key string, is_url int, page_id {kind}, host string, path string, verdict string"
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +139,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             taken = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([taken["page_id"], taken["host"], taken["path"], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    both = rows.mapInArrow(place_urls, schema).unionByName(rules.mapInArrow(place_rules, schema))
+    both = rows.mapInArrow(place_urls, schema).unionByName(rules.mapInArrow(place_rules, schema.replace(f"page_id {kind}, ", "")), allowMissingColumns=True)
     ordered = both.repartitionById(len(splitters) + 1, F.col("at")).sortWithinPartitions("at", "key", "is_url", "path")
     return ordered.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")

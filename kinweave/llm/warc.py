@@ -176,8 +176,8 @@ class _Bundle(InputPartition):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
         self.bundle_bytes, self.frame_bytes = int(options.get("bundle_bytes", BUNDLE_BYTES)), int(options.get("frame_bytes", FRAME_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -202,9 +202,14 @@ class _Writer(DataSourceArrowWriter):
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
         names = sorted(n for m in messages if m is not None for n in m.names)
+        before = _committed(fs, root)
+        if not self.overwrite:
+            names = before + names
         with fs.open_output_stream(f"{root}/.{MANIFEST}.part") as out:
             out.write(json.dumps(names).encode())
         fs.move(f"{root}/.{MANIFEST}.part", f"{root}/{MANIFEST}")
+        for n in set(before).difference(names):
+            fs.delete_file(f"{root}/{n}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _open(self.path)
@@ -213,6 +218,14 @@ class _Writer(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{n}")
 
 
+def _committed(fs, root: str) -> list[str]:
+    """The bundles that the manifest names; none where nothing was committed."""
+    if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.NotFound:
+        return []
+    with fs.open_input_stream(f"{root}/{MANIFEST}") as source:
+        return json.loads(source.read())
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -253,7 +266,7 @@ class WarcBundles(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -278,9 +291,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     )
 
 
-def write_bundles(rows: DataFrame, path: str, **options: int) -> None:
+def write_bundles(rows: DataFrame, path: str, mode: str = "append", **options: int) -> None:
+    """Write ``rows`` (``ROW``) beside what was committed under ``path``, or in its place with ``mode="overwrite"``.
+
+    One writer at a time: a commit replaces the manifest by one that names the
+    old bundles and its own.
+    """
     rows.sparkSession.dataSource.register(WarcBundles)
-    writer = rows.write.format("warc_bundles").mode("append")
+    writer = rows.write.format("warc_bundles").mode(mode)
     for k, v in options.items():
         writer = writer.option(k, v)
     writer.save(path)

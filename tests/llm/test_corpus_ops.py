@@ -286,6 +286,22 @@ def test_mixed_documents_are_in_training_order(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_null_and_repeated_ids(spark):
+    rows = [(None, "w " * (i % 5 + 1) + str(i), "en", "a" if i % 2 else None, 1) for i in range(40)] + [(7, "x y z", "en", "b", 1)] * 30 + [(8, f"v{i}", "en", "b", 1) for i in range(10)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df).collect()
+    taken, want = defaultdict(int), {r["source"]: int(r["target"] + 1e-9) for r in got}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert len(got) == 80 and dict(taken) == want
+    copies = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        copies[r["source"]] += len(r["text"].split())
+    # whole documents: a source exceeds its target by less than its longest
+    assert all(want[s] <= copies[s] < want[s] + 7 for s in want)
+    assert sorted(map(str, mixing.mixed_documents(df).collect())) == sorted(map(str, mixing.mixed_documents(df.repartition(3)).collect()))
+
+
 # ---- URL filters
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "", "allow"), ("net", "", "block"), (None, "/", "block"), ("a.b", None, "block")]
@@ -313,6 +329,9 @@ def test_url_filter_equals_plain_rules(spark):
         assert got[i] == judge(u, RULES), u
     assert url_filters.url_filter(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filters.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
+    for kind in ("smallint", "decimal(9,0)", "string", "binary"):
+        other = url_filters.url_filter(pages.withColumn("page_id", F.col("page_id").cast("string").cast(kind)), rules)
+        assert dict(other.dtypes)["page_id"] == kind and other.count() == len(urls)
 
 
 # ---- WARC
@@ -337,6 +356,20 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_second_write_keeps_or_replaces_the_first(spark, tmp_path):
+    path = f"file://{tmp_path}/more"
+
+    def pages(*ids):
+        return warc.records(spark.createDataFrame([(i, "u", f"page {i}") for i in ids], "page_id long, url string, html string"))
+
+    warc.write_bundles(pages(1, 2), path)
+    warc.write_bundles(pages(3), path)
+    assert sorted(r["record_id"] for r in warc.read_bundles(spark, path).collect()) == ["1", "2", "3"]
+    warc.write_bundles(pages(4), path, mode="overwrite")
+    assert [r["record_id"] for r in warc.read_bundles(spark, path).collect()] == ["4"]
+    assert len(list((tmp_path / "more").glob("*.zst"))) == 1
+
+
 def test_bundle_is_plain_zstandard_and_seekable():
     sink = stdio.BytesIO()
     sink.close = lambda: None

@@ -82,8 +82,10 @@ def partial(a: str, b: str) -> float:
     if not a:
         return float(not b)
     n = len(a)
-    windows = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
-    return max(ratio(a, w) for w in windows if w)
+    found = max(ratio(a, w) for w in {b[max(0, i) : i + n] for i in range(1 - n, len(b))} if w)
+    if len(b) == n:  # neither is the shorter one, so both slide
+        found = max(found, *(ratio(b, a[max(0, i) : i + n]) for i in range(1 - n, n)))
+    return found
 
 
 SCORERS: dict[str, Callable[[str, str], float]] = {"ratio": ratio, "jw": jaro_winkler, "token_sort": token_sort, "token_set": token_set, "partial": partial}

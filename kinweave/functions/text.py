@@ -86,6 +86,18 @@ def strip_accents(x: Column) -> Column:
     return F.when(beyond, _fold_udf(F.when(beyond, x))).otherwise(F.translate(x, _LETTERS, _BASES))
 
 
+@F.pandas_udf(StringType())
+def _decompose_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else fold(t))
+
+
+def folded(x: Column) -> Column:
+    """lower case without combining marks, other scripts kept; null as empty. Only texts beyond Latin letters go through Python."""
+    x = F.coalesce(x, F.lit(""))
+    beyond = x.rlike(f"[^\\x00-\\x7F{_LETTERS}]")
+    return F.lower(F.when(beyond, _decompose_udf(F.when(beyond, x))).otherwise(F.translate(x, _LETTERS, _BASES)))
+
+
 def script(x: Column) -> Column:
     """the block of most non-ASCII characters, ties to the first seen; ``latin`` without any."""
     chars = F.filter(F.split(F.coalesce(x, F.lit("")), ""), lambda c: c.rlike(r"[^\x00-\x7F]"))

@@ -51,21 +51,34 @@ def summarize(stats: DataFrame) -> DataFrame:
     )
 
 
-def threshold_sweep(labelled: DataFrame, required: DataFrame, entity: str = "s1_id", p: str = "p", grid: Sequence[int] = GRID) -> DataFrame:
-    """``threshold, macro_f05`` over the grid; ``required`` has ``entity, truth_size``.
+def _cell(x: Column) -> Column:
+    return F.floor(x * 100 + 1e-9).cast("int")
+
 
-    Pairs are counted once by entity and grid cell; running sums over an
-    entity's few cells then give its counts at every threshold, so the grid
-    multiplies entities, never pairs.
+def sweep_levels(levels: DataFrame, required: DataFrame, entity: str = "s1_id", grid: Sequence[int] = GRID) -> DataFrame:
+    """``cell, macro_f05``: the score over ``required`` (``entity, truth_size``) if the pairs of ``level`` >= cell are kept, for each cell of the grid.
+
+    An entity's score changes only at its own levels. Pairs are counted once by
+    entity and level, running sums give the entity's score there, and its
+    changes are added up by level; the last running sum is over the grid.
     """
-    cells = labelled.select(entity, F.floor(F.col(p) * 100 + 1e-9).cast("int").alias("cell"), "label").where(F.col("cell") >= min(grid))
-    cells = cells.withColumn("cell", F.least("cell", F.lit(max(grid)))).groupBy(entity, "cell").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
-    at = F.explode(F.array(*[F.lit(g) for g in grid]))
-    steps = required.select(entity, "truth_size", at.alias("cell")).join(cells, [entity, "cell"], "left")
-    above = Window.partitionBy(entity).orderBy(F.col("cell").desc())
-    steps = steps.withColumns({"tp": F.sum(F.coalesce("tp", F.lit(0))).over(above), "n": F.sum(F.coalesce("n", F.lit(0))).over(above)})
-    score = f05(F.col("tp"), F.col("n") - F.col("tp"), F.col("truth_size") - F.col("tp"))
-    return steps.groupBy((F.col("cell") / 100.0).alias("threshold")).agg(F.avg(score).alias("macro_f05"))
+    cells = levels.where(F.col("level") >= min(grid)).groupBy(entity, F.least("level", F.lit(max(grid))).alias("level")).agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(entity).orderBy(F.col("level").desc())
+    empty = f05(F.lit(0), F.lit(0), F.col("truth_size"))
+    rows = cells.join(required, entity).withColumns({"tp": F.sum("tp").over(above), "n": F.sum("n").over(above)})
+    rows = rows.withColumn("score", f05(F.col("tp"), F.col("n") - F.col("tp"), F.col("truth_size") - F.col("tp")))
+    changes = rows.select("level", (F.col("score") - F.coalesce(F.lag("score").over(above), empty)).alias("change")).groupBy("level").agg(F.sum("change").alias("change"))
+    base = required.agg(F.sum(empty).alias("base"), F.count(F.lit(1)).alias("entities"))
+    steps = base.select("base", "entities", F.explode(F.array(*[F.lit(g) for g in grid])).alias("cell")).join(F.broadcast(changes), F.col("cell") == F.col("level"), "left")
+    # one row a grid value
+    total = F.col("base") + F.sum(F.coalesce("change", F.lit(0.0))).over(Window.orderBy(F.col("cell").desc()))
+    return steps.select("cell", (total / F.col("entities")).alias("macro_f05"))
+
+
+def threshold_sweep(labelled: DataFrame, required: DataFrame, entity: str = "s1_id", p: str = "p", grid: Sequence[int] = GRID) -> DataFrame:
+    """``threshold, macro_f05`` over the grid; ``required`` has ``entity, truth_size``."""
+    found = sweep_levels(labelled.select(entity, _cell(F.col(p)).alias("level"), "label"), required, entity, grid)
+    return found.select((F.col("cell") / 100.0).alias("threshold"), "macro_f05")
 
 
 def best_threshold(sweep: DataFrame) -> tuple[float, float]:
@@ -75,31 +88,60 @@ def best_threshold(sweep: DataFrame) -> tuple[float, float]:
 
 
 def macro(labelled: DataFrame, required: DataFrame, keep: Column, entity: str = "s1_id") -> float:
+    """The macro score if the pairs of ``keep`` are predicted."""
     kept = labelled.where(keep).groupBy(entity).agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
     rows = required.join(kept, entity, "left").select("truth_size", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("n", F.lit(0)).alias("n"))
     return rows.agg(F.avg(f05(F.col("tp"), F.col("n") - F.col("tp"), F.col("truth_size") - F.col("tp")))).first()[0]
 
 
-def coordinate_ascent(labelled: DataFrame, required: DataFrame, start: float, gated: bool = False, rounds: int = 1, grid: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8), entity: str = "s1_id", p: str = "p") -> dict[str, float]:
-    """Thresholds for S2, S3 (and an entity gate) by turns, each the first best of ``grid``; a driver loop over small aggregates."""
-    rows = labelled.withColumn("x_best", F.max(p).over(Window.partitionBy(entity))).persist()
-    found = {"gate": 0.0, "s2": start, "s3": start}
-
-    def score(c: dict[str, float]) -> float:
-        by_source = F.when(F.col("is_s2"), F.col(p) >= c["s2"]).otherwise(F.col(p) >= c["s3"])
-        return macro(rows, required, by_source & (F.col("x_best") >= c["gate"]), entity)
+def coordinate_ascent(labelled: DataFrame, required: DataFrame, start: dict[str, float] | float, gated: bool = False, rounds: int = 3, grid: Sequence[int] = GRID, entity: str = "s1_id", p: str = "p", margin: float = 1e-12) -> dict[str, float]:
+    """Thresholds for S2, S3 (and an entity gate) by turns over the whole grid, a value adopted if it is better by ``margin``.
 
-    best = score(found)
+    Each turn is one :func:`sweep_levels`: a pair's level is the largest value
+    of the moving threshold at which it is kept, the others as they stand. It
+    ends early when a round changes nothing.
+    """
+    best_name = "x_best"
+    rows = labelled.withColumn(best_name, F.max(p).over(Window.partitionBy(entity)))
+    found = {"gate": 0.0, **({"s2": start, "s3": start} if isinstance(start, float) else start)}
+    found = {name: float(found[name]) for name in ("gate", "s2", "s3")}
+    always, never = F.lit(max(grid)), F.lit(min(grid) - 1)
+
+    def scores(name: str) -> list[tuple[int, float]]:
+        by_source = F.when(F.col("is_s2"), F.col(p) >= found["s2"]).otherwise(F.col(p) >= found["s3"])
+        open_ = F.col(best_name) >= found["gate"]
+        if name == "gate":
+            level = F.when(by_source, _cell(F.col(best_name))).otherwise(never)
+        else:
+            moving = F.col("is_s2") if name == "s2" else ~F.col("is_s2")
+            level = F.when(~open_, never).when(moving, _cell(F.col(p))).when(by_source, always).otherwise(never)
+        got = sweep_levels(rows.select(entity, level.alias("level"), "label"), required, entity, grid).collect()  # one row a grid value
+        return sorted((r["cell"], r["macro_f05"]) for r in got)
+
+    best = macro(rows, required, F.when(F.col("is_s2"), F.col(p) >= found["s2"]).otherwise(F.col(p) >= found["s3"]) & (F.col(best_name) >= found["gate"]), entity)
     for _ in range(rounds):
+        before = dict(found)
         for name in (("gate",) if gated else ()) + ("s2", "s3"):
-            for t in grid:
-                value = score(found | {name: t})
-                if value > best + 1e-12:
-                    best, found = value, found | {name: t}
-    rows.unpersist()
+            for cell, value in scores(name):
+                if value > best + margin:
+                    best, found[name] = value, cell / 100.0
+        if found == before:
+            break
     return found | {"macro_f05": best}
 
 
+def floor_by_budget(tradeoff_rows: DataFrame, least_recall: float = 0.995) -> DataFrame:
+    """P5: the largest floor whose share of true pairs kept is at least ``least_recall``; none without one."""
+    return tradeoff_rows.where(F.col("recall_all_true_pairs") >= least_recall).agg(F.max_by(F.struct("floor", "candidates_per_entity", "recall_all_true_pairs"), "floor").alias("r")).where("r is not null").select("r.*")
+
+
+def keep_share(scored: DataFrame, share: float = 0.9, most: int = 3, entity: str = "s1_id", p: str = "p", tie: str = "pool_id") -> DataFrame:
+    """An entity's best new pairs, ``most`` at most, each with at least ``share`` of its best score."""
+    own = Window.partitionBy(entity)
+    rows = scored.withColumns({"x_top": F.max(p).over(own), "x_at": F.row_number().over(own.orderBy(F.col(p).desc(), tie))})
+    return rows.where((F.col("x_at") <= most) & (F.col(p) >= share * F.col("x_top"))).drop("x_top", "x_at")
+
+
 def tradeoff(labelled: DataFrame, required: DataFrame, floors: Sequence[float], score: str = "p", entity: str = "s1_id") -> DataFrame:
     """For each floor the candidates per entity, the share of true pairs kept and of entities left empty."""
     base = required.agg(F.count(F.lit(1)).alias("entities"), F.sum("truth_size").alias("truths"))
@@ -117,11 +159,18 @@ def recall_at(labelled: DataFrame, required: DataFrame, ks: Sequence[int] = (1,
 
 
 def auc(labelled: DataFrame, score: str = "p") -> DataFrame:
-    """Rank-sum AUC with mid-ranks, from counts by score value."""
-    by_value = labelled.groupBy(F.col(score).alias("v")).agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
-    # one row a distinct score; partial sums keep the running count out of a single task's raw rows
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_value.withColumn("mid", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    """Rank-sum AUC with mid-ranks, from counts by score value.
+
+    Ranks run in two levels: over ranges of the score, 65,536 to the unit, and
+    within each range, so no task sees all distinct scores.
+    """
+    by_value = labelled.groupBy(F.col(score).alias("v")).agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("v") * 65536))
+    parts = by_value.groupBy("part").agg(F.sum("n").alias("m"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("r"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by_value.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, F.col("part") == F.col("r"))
+    ranked = ranked.withColumn("mid", F.col("ahead") + F.col("inside") + (F.col("n") + 1) / 2.0)
     sums = ranked.agg(F.sum(F.col("pos") * F.col("mid")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")).cast("double"))).alias("auc"))
 

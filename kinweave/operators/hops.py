@@ -101,6 +101,7 @@ def dense_search(query: DataFrame, pool: DataFrame, k: int = 30, group: str = "l
 
     def best(batches):
         for batch in batches:
+            kind = batch.schema.field("q_ids").type.value_type
             for row in batch.to_pylist():
                 sims = unit(row["q_vecs"]) @ unit(row["p_vecs"]).T
                 ids = np.array(row["p_ids"])
@@ -110,7 +111,7 @@ def dense_search(query: DataFrame, pool: DataFrame, k: int = 30, group: str = "l
                     out["q_id"] += [q] * len(order)
                     out["p_id"] += [row["p_ids"][j] for j in order]
                     out["dense_score"] += sims[i][order].tolist()
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("q_id", pa.int64()), ("p_id", pa.int64()), ("dense_score", pa.float64())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("q_id", kind), ("p_id", kind), ("dense_score", pa.float64())]))
 
     found = packed.join(meet, group).select("q_ids", "q_vecs", "p_ids", "p_vecs").mapInArrow(best, f"q_id {q_type}, p_id {q_type}, dense_score double")
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.round("dense_score", 12).desc(), "p_id"))

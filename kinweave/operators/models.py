@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .sampling import fold
 
 #: Features that grow with the pool, and those of the query's script, are left out of matchers.
-POOL_SIZED = ("pool_name_freq", "pool_core_freq", "pool_addr_freq", "idf_name", "idf_addr", "block_score", "rank_score", "block_gap_to_best", "n_candidates_for_entity", "n_name_shared", "n_addr_shared")
+# The columns' names.
+POOL_SIZED = ("idf_name", "idf_addr", "block_score", "n_name_shared", "n_addr_shared", "n_candidates_for_entity", "pool_name_freq", "pool_core_freq", "pool_addr_freq", "s1_core_freq", "s1_addr_freq")
 QUERY_SCRIPT = ("name_script_1", "name_script_match")
 
 

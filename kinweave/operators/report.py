@@ -47,23 +47,28 @@ def missed_categories(missed: DataFrame) -> DataFrame:
 def edge_cases(pairs: DataFrame, stats: DataFrame, entity: str = "s1_id") -> DataFrame:
     """Predicates over entities; each case with its entities, counts and macro F0.5.
 
-    ``pairs`` has ``label, p, name_ratio, addr_ratio, name_exact_normalized``;
-    ``stats`` is :func:`kinweave.operators.evaluate.score_pairs`.
+    ``pairs`` has ``label, p, is_s2``, the similarities ``name_ratio,
+    addr_ratio, name_jw, name_token_sort``, ``name_exact_normalized``,
+    ``name_script_2`` (2 and above: not Latin) and the flags ``name_missing_1,
+    name_missing_2, addr_missing_1, addr_missing_2``. ``stats`` is
+    :func:`kinweave.operators.evaluate.score_pairs`, with ``n_true_s2`` and
+    ``n_true_s3``: the true matches of each source, found or not. Missing
+    similarities are weak, but noise is told from two present ones.
     """
-    true, name, addr = F.col("label") == 1, F.coalesce("name_ratio", F.lit(0.0)), F.coalesce("addr_ratio", F.lit(0.0))
-
-    def some(x: Column) -> Column:
-        return F.coalesce(F.max(x.cast("int")), F.lit(0))
-
-    per = pairs.groupBy(entity).agg(
-        F.sum("label").alias("true_cands"), some(true & (name >= 0.85) & (addr < 0.5)).alias("c6"), some(true & (addr >= 0.85) & (name < 0.5)).alias("c7"), some(true & (name < 0.7) & (addr < 0.7)).alias("c8"),
-        some(~true & (name >= 0.9)).alias("c9"), some(~true & (addr >= 0.9)).alias("c10"), some(true & (F.col("name_exact_normalized") == 1)).alias("c14"), some(true).alias("has_true"), some(~true & (F.col("p") >= 0.3)).alias("high_false"),
-    )
-    rows = stats.join(per, entity, "left").withColumn("true_cands", F.coalesce("true_cands", F.lit(0)))
-    cases = {
-        "true singleton": F.col("truth_size") == 0, "one match": F.col("truth_size") == 1, "several matches": F.col("truth_size") >= 2, "name strong, address weak": F.col("c6") == 1, "address strong, name weak": F.col("c7") == 1,
-        "both noisy": F.col("c8") == 1, "name collision": F.col("c9") == 1, "address collision": F.col("c10") == 1, "identical after normalisation": F.col("c14") == 1, "ambiguous": (F.col("has_true") == 1) & (F.col("high_false") == 1),
+    true = F.col("label") == 1
+    name, addr, jw, sorted_name = (F.coalesce(c, F.lit(0.0)) for c in ("name_ratio", "addr_ratio", "name_jw", "name_token_sort"))
+    no_name, no_addr = ((F.col(f"{f}_missing_1") == 1) | (F.col(f"{f}_missing_2") == 1) for f in ("name", "addr"))
+    exact = F.col("name_exact_normalized") == 1
+    by_pair = {
+        "name strong, address weak": true & (name >= 0.85) & (addr < 0.5), "address strong, name weak": true & (addr >= 0.85) & (name < 0.5), "both noisy": true & (F.col("name_ratio") < 0.7) & (F.col("addr_ratio") < 0.7),
+        "name collision": ~true & (name >= 0.9), "address collision": ~true & (addr >= 0.9), "missing name": true & no_name, "missing address": true & no_addr, "several fields missing": true & no_name & no_addr,
+        "identical after normalisation": true & exact, "token order": true & (sorted_name >= 0.95) & (name < 0.9), "typo": true & (jw >= 0.9) & ~exact, "transliteration": true & (F.col("name_script_2") >= 2),
+        "x_true": true, "x_high_false": ~true & (F.col("p") >= 0.3),
     }
+    per = pairs.groupBy(entity).agg(F.sum("label").alias("true_cands"), *[F.coalesce(F.max(v.cast("int")), F.lit(0)).alias(k) for k, v in by_pair.items()])
+    rows = stats.join(per, entity, "left").withColumn("true_cands", F.coalesce("true_cands", F.lit(0)))
+    cases = {"true singleton": F.col("truth_size") == 0, "one match": F.col("truth_size") == 1, "several matches": F.col("truth_size") >= 2, "both sources": (F.col("n_true_s2") > 0) & (F.col("n_true_s3") > 0), "several in one source": (F.col("n_true_s2") > 1) | (F.col("n_true_s3") > 1)}
+    cases |= {k: F.col(k) == 1 for k in by_pair if not k.startswith("x_")} | {"ambiguous": (F.col("x_true") == 1) & (F.col("x_high_false") == 1)}
     listed = F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in cases.items()]), lambda c: c.isNotNull())
     return rows.withColumn("edge_case", F.explode(listed)).groupBy("edge_case").agg(
         F.count(F.lit(1)).alias("entities"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum(F.col("truth_size") - F.col("true_cands")).alias("blocking_failures"), F.sum(F.col("true_cands") - F.col("tp")).alias("rejected_true"),

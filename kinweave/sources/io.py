@@ -13,8 +13,11 @@ RAW = "entity_id string, business_name string, business_address string, country
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared place that ``spark.checkpoint.dir`` names, deleted when the driver ends; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kinweave-scratch"
+    """A fresh folder in the shared place that ``spark.checkpoint.dir`` names, deleted when the driver ends; where it is unset, a local one in local mode alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.gettempdir()}/kinweave-scratch"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/kinweave-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()

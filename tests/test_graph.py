@@ -94,7 +94,7 @@ def test_expected_f_is_enumeration():
             for m, c in enumerate(chances):
                 tp, fp, fn = sum(labels[:k]), k - sum(labels[:k]), sum(labels[k:]) + m
                 want += weight * c * (1.0 if tp + fp + fn == 0 else 1.25 * tp / (1.25 * tp + 0.25 * fn + fp))
-        assert decide.expected_f(q, missed)[k] == pytest.approx(want)
+        assert decide.expected_f(np.array([q, q / 2]), missed)[0, k] == pytest.approx(want)
 
 
 def test_expected_decision_keeps_best(spark):
@@ -165,3 +165,57 @@ def test_street_swaps(spark):
     assert len(got) == 2
     for r in got:
         assert r["swapped"].split()[0] == r["address"].split()[0] and r["swapped"].endswith(", town") and r["swapped"].split()[1] not in r["address"].lower()
+
+
+def test_ascent_tries_the_whole_grid(spark):
+    rng = random.Random(3)
+    rows = []
+    for e in range(60):
+        for c in range(rng.randrange(1, 5)):
+            y = int(rng.random() < 0.4)
+            rows.append((e, len(rows), min(0.99, max(0.01, round(rng.gauss(0.7 if y else 0.4, 0.2), 4))), rng.random() < 0.5, y))
+    df = spark.createDataFrame(rows, PAIRS)
+    required = df.groupBy("s1_id").agg(F.sum("label").alias("truth_size"))
+
+    def score(gate, s2, s3):
+        total = 0.0
+        for e in range(60):
+            mine = [r for r in rows if r[0] == e]
+            kept = [r for r in mine if r[2] >= (s2 if r[3] else s3) - 1e-12] if max(r[2] for r in mine) >= gate else []
+            tp, truth = sum(r[4] for r in kept), sum(r[4] for r in mine)
+            total += float(not kept) if not truth else 1.25 * tp / (1.25 * tp + 0.25 * (truth - tp) + len(kept) - tp)
+        return total / 60
+
+    for gated in (False, True):
+        at = {"gate": 0.0, "s2": 0.5, "s3": 0.5}
+        best = score(**at)
+        for _ in range(3):
+            for name in (("gate",) if gated else ()) + ("s2", "s3"):
+                for g in range(5, 100):
+                    value = score(**(at | {name: g / 100}))
+                    if value > best + 1e-12:
+                        best, at = value, at | {name: g / 100}
+        got = evaluate.coordinate_ascent(df, required, 0.5, gated=gated)
+        assert got["macro_f05"] == pytest.approx(best) and all(got[k] == pytest.approx(v) for k, v in at.items())
+
+
+def test_auc_of_continuous_scores(spark):
+    rng = random.Random(5)
+    rows = [(i, i, rng.choice([rng.random(), 0.25, -3.0 * rng.random(), 7.5]), True, int(rng.random() < 0.3)) for i in range(500)]
+    got = evaluate.auc(spark.createDataFrame(rows, PAIRS)).first()["auc"]
+    wins = [(p > n) + 0.5 * (p == n) for _, _, p, _, y in rows if y for _, _, n, _, z in rows if not z]
+    assert got == pytest.approx(sum(wins) / len(wins))
+
+
+def test_floor_and_share_of_new_pairs(spark):
+    table = spark.createDataFrame([(0.01, 9.0, 1.0), (0.05, 5.0, 0.996), (0.2, 2.0, 0.9)], "floor double, candidates_per_entity double, recall_all_true_pairs double")
+    assert [r["floor"] for r in evaluate.floor_by_budget(table).collect()] == [0.05] and evaluate.floor_by_budget(table, 1.1).count() == 0
+    rows = [(0, i, p, True, 0) for i, p in enumerate([0.9, 0.85, 0.82, 0.815, 0.1])] + [(1, 9, 0.2, True, 0), (1, 8, 0.17, True, 0)]
+    assert {r["pool_id"] for r in evaluate.keep_share(spark.createDataFrame(rows, PAIRS)).collect()} == {0, 1, 2, 9}
+
+
+def test_unknown_records_break_the_output(spark):
+    kept = spark.createDataFrame([("a", "S2-1"), ("a", "S9-1")], "s1_id string, pool_id string")
+    known = spark.createDataFrame([("S2-1",)], "pool_id string")
+    got = decide.broken_invariants(kept, kept, kept.select("s1_id"), known=known).collect()
+    assert [(r["pool_id"], r["problem"]) for r in got] == [("S9-1", "unknown record")]

@@ -67,8 +67,24 @@ def test_scores_are_null_on_empty_sides(spark):
     assert kept[1]["s"]["token_set"] == 0.0
 
 
-def test_addresses():
-    assert graph.parse_address("12 rue de la Paix, Paris") == ("12", "paix", "paris")
-    assert graph.parse_address("Mall, 0045 Main Street, X") == ("45", "main", "mall x")
-    assert graph.parse_address("Main Street, Town") == (None, "main", "town")
-    assert graph.parse_address("Nowhere") == (None, "", "nowhere") and graph.parse_address(None) == (None, "", "")
+def test_addresses(spark):
+    cases = {
+        "12 rue de la Paix, Paris": ("12", "paix", "paris"), "Mall, 0045 Main Street, X": ("45", "main", "mall x"), "Main Street, Town": (None, "main", "town"), "Nowhere": (None, "", "nowhere"), None: (None, "", ""), "": (None, "", ""),
+        " , (no. 7) - bis Chemin des Érables ,, Étage 2": ("7", "erables", "etage 2"), "Street, Low Road, 3 B": (None, "low", "street 3 b"), "000 Che Str Haut": ("0", "haut", ""), "5 x, 6 Oak Ave": ("6", "oak", "5 x"), "मार्ग 4 road": (None, "4", ""),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", graph.parsed_address("t").alias("a")).orderBy("i").collect()
+    assert [tuple(r["a"]) for r in rows] == list(cases.values())
+
+
+def test_partial_is_symmetric_at_equal_lengths():
+    from kinweave.functions import similarity
+
+    assert similarity.partial("aababb", "cacbbc") == similarity.partial("cacbbc", "aababb") == pytest.approx(2 / 3)
+    assert similarity.partial("abc", "xxabcxx") == 1.0
+
+
+def test_robust_features_leave_out_what_grows_with_the_pool():
+    from kinweave.operators import models
+
+    assert models.feature_columns(["rank_score", "s1_core_freq", "s1_addr_freq", "idf_name", "name_script_1", "label"], robust=True) == ["rank_score"]
+    assert models.feature_columns(["s1_core_freq", "name_script_match"]) == ["s1_core_freq"]

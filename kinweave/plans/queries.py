@@ -551,7 +551,7 @@ def edge_cases(spark, sf_dir):
     return report.edge_cases(pairs.withColumns(flags), stats).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
-@query(f"""with {PAIRS_SQL}, q as (select *, max(p) over (partition by s1_id) as top, row_number() over (partition by s1_id order by p desc, pool_id) as at from pairs) select s1_id, pool_id, round(p, 9) as p from q where at <= 3 and p >= 0.9 * top""")
+@query(f"""with {PAIRS_SQL}, q as (select *, max(p) over (partition by s1_id) as top, row_number() over (partition by s1_id order by p desc, pool_id) as place from pairs) select s1_id, pool_id, round(p, 9) as p from q where place <= 3 and p >= 0.9 * top""")
 def new_pair_keep(spark, sf_dir):
     """An entity's best new pairs, three at most, within nine tenths of its best."""
     return evaluate.keep_share(scored_pairs(spark, sf_dir)).select("s1_id", "pool_id", F.round("p", 9).alias("p"))

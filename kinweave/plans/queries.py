@@ -632,12 +632,20 @@ def set_operations(spark, sf_dir):
 
 # ---- second hop, new pairs, models, stream
 
-@query()
+# the second retrieval shadows the first one's names inside its own WITH; its queries are the anchors
+ANCHORED_SQL = block_sql().strip().removeprefix(",").replace("s1 as (select * from canon where source = 'S1')", "s1 as (select * from canon where id in (select anchor_id from anchors))")
+
+
+@query(f"""with {RECORDS_SQL} {block_sql()}, known as (select country, s1_id, pool_id, least(round(rank_score, 9) / 2.5::double, 1.0::double) as q from ranked),
+anchors as (select * from (select country, s1_id, pool_id as anchor_id, q, row_number() over (partition by country, s1_id order by q desc, pool_id) as place from known where q >= 0.3::double) where place <= 3),
+again as (with {ANCHORED_SQL} select country, s1_id as anchor_id, pool_id, round(rank_score, 9) as r from ranked),
+reached as (select country, a.s1_id, g.pool_id, max(struct_pack(r := g.r, c := a.q)) as b, count(*) as hop_n from anchors a join again g using (country, anchor_id) where g.pool_id <> a.anchor_id and not exists (select 1 from known k where k.country = g.country and k.s1_id = a.s1_id and k.pool_id = g.pool_id) group by 1, 2, 3)
+select country, s1_id, pool_id, round(b.r, 6) as hop_rank, round(b.c, 6) as hop_conf, hop_n from (select *, row_number() over (partition by country, s1_id order by b.r desc, pool_id) as place from reached) where place <= 10""")
 def second_hop(spark, sf_dir):
     """Anchors are confident candidates."""
     found, s1, pool = _linked(spark, sf_dir)
-    first = found.withColumn("q", F.least(F.col("rank_score") / 2.5, F.lit(1.0)))
-    return hops.second_hop(hops.anchors(first, 0.3), first, pool, CFG)
+    first = found.withColumn("q", F.least(F.round("rank_score", 9) / 2.5, F.lit(1.0)))
+    return hops.second_hop(hops.anchors(first, 0.3), first, pool, CFG).select("country", "s1_id", "pool_id", "hop_n", *r6("hop_rank", "hop_conf"))
 
 
 @query(f"""with {PAIRS_SQL}, d as (select s1_id, pool_id, p as dense_score, (pool_id % 30)::int as dense_rank from pairs where pool_id % 2 = 0), h as (select s1_id, pool_id, p / 2 as hop_rank, p as hop_conf, 1::bigint as hop_n from pairs where pool_id % 3 = 0)

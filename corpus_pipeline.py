@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each row's whole text, checked by decoding, and two sampled segmentations."""
-    return segment(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return segment(docs, public_tokenizers.path("piece_bpe_32k.model"), with_sample_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]

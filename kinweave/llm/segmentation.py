@@ -15,9 +15,9 @@ Where two neighbouring bytes are neighbours in no piece, every segmentation of a
 text has a cut, so its lattice is the product of those of its chunks between
 such places (a word with the space before it, a punctuation mark). A worker
 keeps the lattices and encodings of the chunks it met, found by their bytes, up
-to a bound; those that a batch lacks are built together in numpy: edges by a
-walk of all positions down a trie of the pieces, masses backward by distance
-from the end. A node of the search tree fixes the chunks before it; its
+to a bound, beyond which only those that several batches had stay; those that a
+batch lacks are built together in numpy: edges by a walk of all positions down a
+trie of the pieces, masses backward by distance from the end. A node of the search tree fixes the chunks before it; its
 children are the chosen path of the next chunk, and all its other paths
 together.
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import unused
+from .common import drop_kept, keep_in_worker, unused
 
 #: Bytes of text that are sampled together, and edges of lattices that a worker keeps for the next ones.
 BATCH_BYTES = 640 << 10
@@ -172,6 +172,7 @@ _models: dict[str, Model] = {}
 def model(path: str) -> Model:
     if path not in _models:
         _models[path] = Model(path)
+        keep_in_worker("segmentation", _models.clear)
     return _models[path]
 
 
@@ -331,11 +332,11 @@ class _Row:
 
 
 class Chunks:
-    """The chunks that a worker met lately: by their bytes, with encoding, lattice and favourite path."""
+    """The chunks that a worker met lately: by their bytes, with encoding, lattice, favourite path and the batches that had them."""
 
     _ROWS = {
         "data": np.uint8, "edge_at": np.int64, "first": np.int64, "last": np.int64, "dst": np.int32, "src": np.int32, "byte_at": np.int32, "piece": np.int32, "q": np.float64, "upto": np.float64,
-        "best_edges": np.int32, "left": np.float64, "best_at": np.int64, "best_n": np.int64, "best_logq": np.float64, "rest": np.float64, "ids": np.int32, "ids_at": np.int64, "ids_n": np.int64, "same": np.bool_,
+        "best_edges": np.int32, "left": np.float64, "best_at": np.int64, "best_n": np.int64, "best_logq": np.float64, "rest": np.float64, "ids": np.int32, "ids_at": np.int64, "ids_n": np.int64, "hits": np.int64,
     }
 
     def __init__(self, m: Model):
@@ -360,12 +361,43 @@ class Chunks:
         new = [x for x in dict.fromkeys(found) if x not in self.place]
         if new:
             self._add(new)
-        return np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+        places = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+        self.hits[places] += 1
+        return places
 
     def forget(self) -> None:
-        """Start anew if more than ``KEPT_EDGES`` edges are held."""
-        if len(self.dst) > KEPT_EDGES:
-            self.clear()
+        """If more than ``KEPT_EDGES`` edges are held, keep those of the chunks that most batches had, half as many at most."""
+        if len(self.dst) <= KEPT_EDGES:
+            return
+        edges = self.edge_at[self.last] - self.edge_at[self.first]
+        order = np.argsort(-self.hits, kind="stable")
+        order = order[self.hits[order] > 1]
+        self._retain(np.sort(order[np.cumsum(edges[order]) <= KEPT_EDGES // 2]))
+
+    def _retain(self, kept: np.ndarray) -> None:
+        """Move the chunks ``kept`` (ascending) to the front and drop the others."""
+        first, last = self.first[kept], self.last[kept]
+        byte, size = first - kept, last - first  # a chunk has one node more than bytes
+        edge, edges = self.edge_at[first], self.edge_at[last] - self.edge_at[first]
+        best, best_n, at, n = self.best_at[kept], self.best_n[kept], self.ids_at[kept], self.ids_n[kept]
+
+        def moved(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            return np.cumsum(lengths) - lengths - starts
+
+        e, b = _ranges(edge, edges), _ranges(best, best_n)
+        by_node, by_edge = np.repeat(moved(first, size + 1), edges), moved(edge, edges)
+        held = {
+            "data": self.data[_ranges(byte, size)], "edge_at": np.append(0, self.edge_at[_ranges(first + 1, size + 1)] + np.repeat(by_edge, size + 1)), "first": first + moved(first, size + 1), "last": last + moved(first, size + 1),
+            "dst": self.dst[e] + by_node, "src": self.src[e] + by_node, "byte_at": self.byte_at[e] + np.repeat(moved(byte, size), edges), "piece": self.piece[e], "q": self.q[e], "upto": self.upto[e],
+            "best_edges": self.best_edges[b] + np.repeat(by_edge, best_n), "left": self.left[b], "best_at": best + moved(best, best_n), "best_n": best_n, "best_logq": self.best_logq[kept], "rest": self.rest[kept],
+            "ids": self.ids[_ranges(at, n)], "ids_at": at + moved(at, n), "ids_n": n, "hits": self.hits[kept] // 2,
+        }
+        names = list(self.place)
+        self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+        for name, row in self.rows.items():
+            row.n = 0
+            row.add(held[name])
+        self._bind()
 
     def _add(self, new: list[bytes]) -> None:
         data, size = np.frombuffer(b"".join(new), np.uint8), np.array([len(x) for x in new], np.int64)
@@ -373,14 +405,12 @@ class Chunks:
         lat = Lattices(self.m, data, ends - size, ends)
         best_edges, best_n, left, best_logq = lat.best()
         ids, ids_at, ids_n = self.m.encode_chunks(new, size)
-        wrong = self.m.piece_bytes(ids[_ranges(ids_at, ids_n)]) != data
-        same = np.add.reduceat(wrong, ends - size) == 0
         with np.errstate(divide="ignore"):
             rest = np.log(left[np.cumsum(best_n) - 1])
         nodes, edges, before = len(self.edge_at) - 1, len(self.dst), len(self.first)
         added = {
             "data": data, "edge_at": lat.edge_at[1:] + edges, "first": lat.first + nodes, "last": lat.last + nodes, "dst": lat.dst + nodes, "src": lat.src + nodes, "byte_at": lat.byte_at + len(self.data), "piece": lat.piece, "q": lat.q, "upto": lat.upto,
-            "best_edges": best_edges + edges, "left": left, "best_at": np.cumsum(best_n) - best_n + len(self.best_edges), "best_n": best_n, "best_logq": best_logq, "rest": rest, "ids": ids, "ids_at": ids_at + len(self.ids), "ids_n": ids_n, "same": same,
+            "best_edges": best_edges + edges, "left": left, "best_at": np.cumsum(best_n) - best_n + len(self.best_edges), "best_n": best_n, "best_logq": best_logq, "rest": rest, "ids": ids, "ids_at": ids_at + len(self.ids), "ids_n": ids_n, "hits": np.zeros(len(new), np.int64),
         }
         for name, values in added.items():
             self.rows[name].add(values)
@@ -725,12 +755,24 @@ def encode_texts(m: Model, data: np.ndarray, offsets: np.ndarray, split: tuple |
 
     Equal to the library's ``encode`` of each text: no merge crosses a chunk.
     """
-    chunk, cut, meta = split or split_texts(m, data, offsets)
+    chunk, cut, _ = split or split_texts(m, data, offsets)
     lat = m.chunks
     n = lat.ids_n[chunk]
     ids = lat.ids[_ranges(lat.ids_at[chunk], n)]
-    wrong = np.concatenate([[0], np.cumsum(~lat.same[chunk])])
-    return ids, np.concatenate([[0], np.cumsum(n)])[cut], (wrong[cut[1:]] == wrong[cut[:-1]]) & ~meta
+    at = np.concatenate([[0], np.cumsum(n)])[cut]
+    return ids, at, decodes_to(m, ids, at, data, offsets)
+
+
+def decodes_to(m: Model, ids: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether the ids ``at[i]:at[i + 1]`` decode to text i, by the bytes of both; a text that isn't empty follows the encoder's space."""
+    raw, ends = m.piece_bytes(ids), np.concatenate([[0], np.cumsum(m.lengths[ids])])[at]
+    size = np.diff(offsets)
+    same = np.diff(ends) == size + (size > 0)
+    full = np.flatnonzero(same & (size > 0))
+    wrong = raw[_ranges(ends[full] + 1, size[full])] != data[_ranges(offsets[full], size[full])]
+    begin = np.cumsum(size[full]) - size[full]
+    same[full] = (raw[ends[full]] == 0x20) & (np.add.reduceat(wrong, begin) == 0 if len(full) else True)
+    return same
 
 
 def segment(docs: DataFrame, path: str, k: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_sample_ids: bool = False) -> DataFrame:
@@ -755,8 +797,9 @@ def segment(docs: DataFrame, path: str, k: int = 2, seed: int = 0, id_col: str =
         return zlib.crc32(ids.astype("<i4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("segmentation")
         m = model(path)
-        sample_type = pa.list_(pa.struct([("n_tokens", pa.int32()), ("logp", pa.float64()), ("gumbel", pa.float64()), ("log_inclusion", pa.float64()), ("ids", pa.list_(pa.int32())), ("ids_crc", pa.int64())]))
+        sample_type = pa.struct([("n_tokens", pa.int32()), ("logp", pa.float64()), ("gumbel", pa.float64()), ("log_inclusion", pa.float64()), ("ids", pa.list_(pa.int32())), ("ids_crc", pa.int64())])
         for batch in batches:
             for lo, hi in bt.slices(batch.column(1), BATCH_BYTES):
                 part = batch.slice(lo, hi - lo)
@@ -765,10 +808,14 @@ def segment(docs: DataFrame, path: str, k: int = 2, seed: int = 0, id_col: str =
                 ids, at, same = encode_texts(m, data, offsets, split)
                 keys = np.array([key_of(x, seed) for x in part.column(0).to_pylist()], np.uint64)
                 samples = sample_texts(m, data, offsets, bt.mix(keys), k, split)
-                rows = [[{"n_tokens": len(s.ids), "logp": s.logp, "gumbel": s.gumbel, "log_inclusion": s.log_inclusion, "ids": s.ids if with_sample_ids else None, "ids_crc": crc(s.ids)} for s in x] for x in samples]
+                flat = [s for x in samples for s in x]
+                n = np.array([len(s.ids) for s in flat], np.int32)
+                pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([s.ids for s in flat] or [ids[:0]]), pa.int32())) if with_sample_ids else pa.nulls(len(flat), pa.list_(pa.int32()))
+                columns = [pa.array(n), *[pa.array([getattr(s, c) for s in flat], pa.float64()) for c in ("logp", "gumbel", "log_inclusion")], pieces, pa.array([crc(s.ids) for s in flat], pa.int64())]
+                drawn = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in samples])).astype(np.int32)), pa.StructArray.from_arrays(columns, fields=list(sample_type)))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)) if with_ids else pa.nulls(hi - lo, pa.list_(pa.int32()))
                 crcs = [crc(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), lists, pa.array(crcs, pa.int64()), pa.array(same), pa.array(rows, sample_type)], names=["doc_id", "n_tokens", "ids", "ids_crc", "round_trip", "samples"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), lists, pa.array(crcs, pa.int64()), pa.array(same), drawn], names=["doc_id", "n_tokens", "ids", "ids_crc", "round_trip", "samples"])
 
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc long, round_trip boolean, samples array<struct<n_tokens:int,logp:double,gumbel:double,log_inclusion:double,ids:array<int>,ids_crc:bigint>>"
     return docs.select(F.col(id_col).alias(i), F.col(text_col).cast("string").alias(t)).mapInArrow(run, schema)

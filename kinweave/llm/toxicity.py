@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, id_remainder, unused
+from .common import cut, drop_kept, id_remainder, unused
 from .features import word_hashes
 from .quality import TRAIN_BYTES, labelled
 
@@ -257,6 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         vocabulary, rows = shared.value, 0
         seen = np.zeros(len(vocabulary.hashes) + 1, np.int64)
         for batch in batches:
@@ -320,6 +321,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         fitted = shared.value
         for batch in batches:
             scores, cosines, examples = [], [np.zeros(0)], [np.zeros(0, np.int64)]
@@ -342,11 +344,18 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """``docs`` without the rows whose text :func:`toxicity` rejects; same columns. Each row is judged by its own text, whatever its id."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **options))
     t, m = unused(docs, "x_text", "x_mark")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text, names = F.coalesce(F.col(text_col).cast("string"), F.lit("")), docs.columns
+    # a column of texts is read where it is: a second copy would double what the executors hold
+    plain = text_col in names and docs.schema[text_col].dataType.simpleString() == "string"
+    added = {m: F.xxhash64(text)} if plain else {t: text, m: F.xxhash64(text)}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
-            scores = [s for s, _, _ in shared.value.judge(batch[t], batch[m].to_numpy())]
-            yield batch.filter(pa.array(np.array(scores) < threshold, pa.bool_())).select(batch.schema.names[:-2])
+            texts = batch[text_col if plain else t]
+            for lo, hi in bt.slices(texts):
+                part, marks = texts.slice(lo, hi - lo), batch[m].slice(lo, hi - lo).to_numpy()
+                scores = [s for s, _, _ in shared.value.judge(part, marks)]
+                yield batch.select(names).slice(lo, hi - lo).filter(pa.array(np.array(scores) < threshold, pa.bool_()))
 
-    return docs.withColumns({t: text, m: F.xxhash64(text)}).mapInArrow(keep, docs.schema)
+    return docs.withColumns(added).mapInArrow(keep, docs.schema)

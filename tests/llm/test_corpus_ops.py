@@ -545,6 +545,14 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty, sf).count() == 0, name
 
 
+def test_pipeline_gives_every_segmentation(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, None)], "doc_id long, text string")
+    rows = corpus_pipeline.sentencepiece(spark, docs, "").collect()
+    assert len(rows) == 2 and all(len(s["ids"]) == s["n_tokens"] for r in rows for s in r["samples"]) and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+
+
 def test_every_operator_is_registered():
     from kinweave.llm import queries
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -88,3 +89,42 @@ def test_robust_features_leave_out_what_grows_with_the_pool():
 
     assert models.feature_columns(["rank_score", "s1_core_freq", "s1_addr_freq", "idf_name", "name_script_1", "label"], robust=True) == ["rank_score"]
     assert models.feature_columns(["s1_core_freq", "name_script_match"]) == ["s1_core_freq"]
+
+
+def slow_partial(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return float(not b)
+    found = max(similarity.ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+    return max(found, *(similarity.ratio(b, a[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(a)))) if len(a) == len(b) else found
+
+
+def slow_token_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    common = x & y
+    if common and common in (x, y):
+        return 1.0
+    both = " ".join(sorted(common))
+    left, right = (" ".join(filter(None, [both, " ".join(sorted(s - common))])) for s in (x, y))
+    return max([similarity.ratio(left, right)] + ([similarity.ratio(both, left), similarity.ratio(both, right)] if common else []))
+
+
+def test_similarities_of_many_pairs_are_those_of_each(monkeypatch):
+    rng = random.Random(3)
+    pairs = [tuple("".join(rng.choice("ab cdé日") for _ in range(rng.choice((0, 1, 2, 5, 12, 40)))) for _ in range(2)) for _ in range(1500)]
+    for together in (similarity.COMBED_TOGETHER, 50):
+        monkeypatch.setattr(similarity, "COMBED_TOGETHER", together)
+        assert similarity.partials(pairs) == [slow_partial(*p) for p in pairs]
+    assert [similarity.token_set(*p) for p in pairs] == [slow_token_set(*p) for p in pairs]
+    assert similarity.partials([]) == []
+
+
+def test_partial_of_long_texts_ends():
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choice("abcdefgh ") for _ in range(160)) for _ in range(2)) for _ in range(3000)]
+    begin = time.process_time()
+    assert len(similarity.partials(pairs)) == 3000
+    assert time.process_time() - begin < 15  # the windows one by one took about 80

@@ -386,3 +386,59 @@ def test_samples_don_t_depend_on_the_batch(monkeypatch):
 def test_keys_have_64_bits():
     assert len({segmentation.key_of(f"doc-{i}", 0) for i in range(1_000_000)}) == 1_000_000
     assert segmentation.key_of("doc-208744841", 0) != segmentation.key_of("doc-880679910", 0) and segmentation.key_of(1, 0) != segmentation.key_of(1, 7)
+
+
+def test_full_cache_keeps_the_chunks_of_most_batches(monkeypatch):
+    m = segmentation.Model(PIECES)
+    texts = ["the cat, sat on a mat né", *[f"the cat, w{i}x{i * i} 日{i} sat on é{i}" for i in range(60)]]
+    want = {}
+    for limit in (1 << 30, 150, 0):
+        monkeypatch.setattr(segmentation, "KEPT_EDGES", limit)
+        m.chunks.clear()
+        for i, text in enumerate(texts):
+            data, offsets = bt.buffers(pa.array([text]))
+            split = segmentation.split_texts(m, data, offsets)
+            ids, _, same = segmentation.encode_texts(m, data, offsets, split)
+            (samples,) = segmentation.sample_texts(m, data, offsets, bt.mix(np.array([i], np.uint64)), 3, split)
+            got = (ids.tolist(), same.tolist(), [(s.ids.tolist(), s.logp, s.gumbel, s.log_inclusion) for s in samples])
+            assert got == want.setdefault(i, got) and got[0] == m.library.encode(text) and same.all()
+        if limit == 150:
+            m.chunks.forget()
+            assert {b" cat", b" the"} <= set(m.chunks.place) and len(m.chunks.dst) <= 75
+
+
+def test_decoding_is_of_whole_texts():
+    m = segmentation.model(PIECES)
+    texts = ["", "the cat", "né,x\n", "🙂\x00 of"]
+    data, offsets = bt.buffers(pa.array(texts))
+    ids, at, same = segmentation.encode_texts(m, data, offsets)
+    assert same.all() and segmentation.decodes_to(m, ids, at, data, offsets).all()
+    for k in range(len(ids)):
+        other = ids.copy()
+        other[k] = m.first_byte + ord("~")
+        got = segmentation.decodes_to(m, other, at, data, offsets)
+        owner = int(np.searchsorted(at, k, side="right")) - 1
+        assert got.tolist() == [i != owner for i in range(len(texts))]
+
+
+def test_query_gives_every_segmentation(spark):
+    from kinweave.llm import queries
+
+    m = segmentation.model(PIECES)
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op2_sentencepiece(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        for ids, crc, n in [(r["ids"], r["ids_crc"], r["n_tokens"]), *[(s["ids"], s["ids_crc"], s["n_tokens"]) for s in r["samples"]]]:
+            assert len(ids) == n and zlib.crc32(np.array(ids, "<i4").tobytes()) == crc and m.decode(ids) == docs[r["doc_id"]]
+
+
+def test_worker_keeps_one_operator_s_caches():
+    from kinweave.llm import common
+
+    segmentation.model(PIECES)
+    common.drop_kept("segmentation")
+    assert PIECES in segmentation._models
+    common.drop_kept()
+    assert not segmentation._models

@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from kinweave.llm import audio, components, exact_dedup, minhash, mixing, url_filters, warc
+from kinweave.llm import audio, common, components, exact_dedup, minhash, mixing, url_filters, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -189,6 +189,49 @@ def test_recall_over_thousands_of_rows(spark):
     assert links > 3000 and got == {i: top(i) for i in sets}
 
 
+def test_many_ids_are_not_broadcast(spark, monkeypatch):
+    """More ids than ``BROADCAST_ROWS`` meet their texts without a broadcast that the driver would have to build."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    plans, write = {}, minhash.cut
+
+    def cut(df, label):
+        plans[label] = df._jdf.queryExecution().analyzed().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(minhash, "cut", cut)
+    rows = near_corpus(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert "LeftSemi" in plans["texts"] and "broadcast" not in plans["texts"] and "shuffle_hash" in plans["texts"]
+
+
+@pytest.mark.parametrize(("few", "kind"), [(0, "long"), (40, "long"), (1 << 14, "long"), (40, "string"), (1 << 14, "string"), (1 << 14, "double")])
+def test_components_whether_few_edges_or_many(spark, monkeypatch, few, kind):
+    """Few edges take one write after the edges' own, at whichever round they get few; rounds before that give the same."""
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    written, write = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, label: written.append(label) or write(df, label))
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(150, 20, -1)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(None, 3), (9, 9)]
+    df = spark.createDataFrame(edges, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    value = {"long": int, "string": str, "double": float}[kind]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = top(value(a)), top(value(b))
+            parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components.components(df, "a", "b").collect()}
+    assert got == {x: top(x) for x in parent}
+    if few > len(edges) and kind != "double":
+        assert written == ["edges", "pointers"]
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + k) for k in range(50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(7, 7), (None, 3), (100, 101)]
